@@ -22,6 +22,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contained
+
+    return contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @query
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_duplicates import classes
@@ -41,3 +55,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24)
+
+
+def _oracles() -> None:
+    from . import decontamination
+
+    ORACLE_SQL["op1_benchmark_decontamination"] = decontamination.ORACLE
+
+
+_oracles()
