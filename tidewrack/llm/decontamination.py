@@ -29,10 +29,10 @@ def words(text: Column) -> Column:
 
 
 def hashes(df: DataFrame, size: int) -> DataFrame:
-    """Add h, the hashes of the `size`-word shingles of t in order (fewer words: none)."""
+    """Add h, the hashes of the `size`-word shingles of t in order (fewer words: none), and room, their number."""
     df = df.withColumn("w", words(F.col("t"))).withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).drop("w")
     one = lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(size)))
-    return df.withColumn("h", F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.size("h") - size), one)).otherwise(F.array().cast("array<bigint>")))
+    return df.withColumn("h", F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.size("h") - size), one)).otherwise(F.array().cast("array<bigint>"))).withColumn("room", F.size("h"))
 
 
 def shingles(df: DataFrame, name: str, size: int) -> DataFrame:
@@ -69,7 +69,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, percen
     sketch = scratch.save(sketch, "sketch")
 
     source = docs.where("doc_id is not null").select("doc_id", text_of().alias("t"))
-    posted = hashes(source, size).select("doc_id", F.size("h").alias("room"), F.explode("h").alias("x"))
+    # explode_outer: for explode the optimizer infers a filter on the array and would compute all hashes in it again
+    posted = hashes(source, size).select("doc_id", "room", F.explode_outer("h").alias("x"))
     found = posted.join(bounded(sketch, BROADCAST_ROWS), "x").where("room >= least").select("doc_id", "item_id").distinct()
     found = scratch.save(found, "candidates")
     ids = found.select("doc_id").distinct()
@@ -88,10 +89,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, percent: i
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s FROM d),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s FROM b),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b),
 n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, item_shingles, count(*) AS common, count(*) / item_shingles AS containment
 FROM ds JOIN bs USING (s) JOIN n USING (item_id)

@@ -153,7 +153,7 @@ def battery(tokens: str) -> str:
 def cuts(tested: DataFrame, rate: float) -> dict[int, float]:
     """Lowest admitted p-value by length class, from the counts over all strings (a row a class: bounded)."""
     p = F.col("x.p")
-    counts = tested.select(F.explode("tested").alias("x")).where("x.p is not null").groupBy(F.col("x.c").alias("c")).agg(*(F.count(F.when(p > t, 1)).alias(f"n{k}") for k, t in enumerate(CUTS)))
+    counts = tested.select(F.explode_outer("tested").alias("x")).where("x.p is not null").groupBy(F.col("x.c").alias("c")).agg(*(F.count(F.when(p > t, 1)).alias(f"n{k}") for k, t in enumerate(CUTS)))
     out = {}
     for row in counts.collect():
         random = row[f"n{len(CUTS) - 1}"] / (1 - CUTS[-1])
