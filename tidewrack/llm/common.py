@@ -6,7 +6,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +72,24 @@ def parts(spark: SparkSession) -> int:
 def text_of(column: str = "text") -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The groups of a stream that is sorted by `key`, one table each."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
+        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1 if batch.num_rows > 1 else np.zeros(0, int)
+        edges = [0, *change.tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            name = tuple(c[a] for c in cols)
+            if held and name != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = name
+    if held:
+        yield pa.Table.from_batches(held)

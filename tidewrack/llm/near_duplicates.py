@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import Scratch, small_batches, text_of
+from .common import Scratch, runs, small_batches, text_of
 from .graph import Forest, components
 
 COORDINATES, MATCHES = 64, 38
@@ -126,27 +126,6 @@ def link_group(rows: _Rows, percent: int, crossed: bool) -> list[tuple[int, int]
     return out
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
-    """The groups of a stream that is sorted by `key`, one table each."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
-        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1 if batch.num_rows > 1 else np.zeros(0, int)
-        edges = [0, *change.tolist(), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            name = tuple(c[a] for c in cols)
-            if held and name != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = name
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _linker(key: list[str], percent: int, crossed: bool) -> Callable:
     def run(batches):
         for table in runs(batches, key):
