@@ -50,6 +50,20 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, percent=80)
 
 
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import parse, transcripts
+
+    return parse(transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
