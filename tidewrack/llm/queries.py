@@ -43,6 +43,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=200)
 
 
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import classes
+
+    return classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
+
+
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
