@@ -229,3 +229,14 @@ def _across(wide: DataFrame, found: DataFrame, percent: int, scratch: Scratch, h
     each = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = each.unionByName(queries)
     return scratch.save(found.unionByName(_links(dealt, ["family", "chunk", "block"], percent, True)), "links-3")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one document of each near-duplicate class, all columns; rows that repeat a doc_id stay once."""
+    scratch = Scratch(docs.sparkSession)
+    made = scratch.save(classes(docs, shingle, percent), "classes")
+    gone = scratch.save(made.where("not kept").select("doc_id").distinct(), "gone")
+    twice = scratch.save(made.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.limit(1).count():
+        docs = only(docs, twice, "left_anti").unionByName(only(docs, twice).dropDuplicates(["doc_id"]))
+    return only(docs, gone, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -92,6 +92,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24)
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _oracles() -> None:
     from . import decontamination
 

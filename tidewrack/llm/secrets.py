@@ -172,10 +172,21 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     ones. Null and empty texts have no spans. Repeated rows are scanned once
     each, a null doc_id stays null, an empty table gives no rows.
     """
-    df = docs.select(F.col("doc_id"), text_of().alias("t"))
-    tokens = tested_tokens(df)
-    cut = cuts(tokens, rate)
-    df = tokens
+    df = spanned(docs.select("doc_id", text_of().alias("t")), rate)
+    names = F.array(*(F.lit(k) for k in KINDS))
+    told = lambda x: F.array_join(F.transform(F.array_sort(x), lambda y: F.concat_ws(":", F.get(names, y["kind"]), y["start"].cast("string"), y["end"].cast("string"))), ",")
+    return df.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(told(F.concat("assign", "access", "hex")), 256).alias("base_sha256"),
+        told(F.concat("assign", "access", "hex", "random")).alias("spans"),
+    )
+
+
+def spanned(df: DataFrame, rate: float) -> DataFrame:
+    """Add the columns assign, access, hex and random: arrays of (start, kind, end) in t."""
+    df = tested_tokens(df)
+    cut = cuts(df, rate)
     low = F.lower("t")
     said = reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in ASSIGN_WORDS))
     df = located(df, "assign", ASSIGN, said)
@@ -191,7 +202,7 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
 
     admitted = F.create_map(*(F.lit(x) for kv in cut.items() for x in kv)) if cut else F.lit(None).cast("map<int,double>")
     tested = F.col("tested")
-    df = df.withColumns(
+    return df.withColumns(
         {
             "assign": spans("assign", lambda _, i: F.char_length(F.get(F.col("assign_v"), i)) >= ASSIGN_LEAST),
             "access": spans("access", lambda x, _: F.char_length(x) >= ACCESS_LEAST),
@@ -199,14 +210,6 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
             "random": spans("random", lambda _, i: F.coalesce(F.get(tested, i)["p"] > F.try_element_at(admitted, F.get(tested, i)["c"]), F.lit(False))),
         }
     )
-    names = F.array(*(F.lit(k) for k in KINDS))
-    told = lambda x: F.array_join(F.transform(F.array_sort(x), lambda y: F.concat_ws(":", F.get(names, y["kind"]), y["start"].cast("string"), y["end"].cast("string"))), ",")
-    return df.select(
-        "doc_id",
-        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
-        F.sha2(told(F.concat("assign", "access", "hex")), 256).alias("base_sha256"),
-        told(F.concat("assign", "access", "hex", "random")).alias("spans"),
-    )
 
 
 def tested_tokens(df: DataFrame) -> DataFrame:
@@ -214,3 +217,24 @@ def tested_tokens(df: DataFrame) -> DataFrame:
     found = F.when(F.col("t").rlike(TOKEN), F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     bare = F.transform(found, lambda x: F.rtrim(x, F.lit("=")))
     return df.withColumn("bare", bare).withColumn("tested", F.expr(battery("bare"))).drop("bare")
+
+
+def redact(docs: DataFrame, rate: float = RATE, mark: str = "[secret]") -> DataFrame:
+    """`docs` with every secret in text replaced by `mark`; rows and columns stay, n_chars (if there) follows the text.
+
+    Spans that overlap or touch are replaced as one. Null texts stay null.
+    """
+    df = spanned(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_of().alias("t")), rate)
+    df = df.select("row", "t", F.array_sort(F.concat(*KINDS)).alias("all"))
+
+    def step(a: Column, x: Column) -> Column:
+        gap = F.substr(F.col("t"), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)).cast("int"))
+        more = F.when((x["start"] > a["at"]) | (a["out"] == ""), F.concat(a["out"], gap, F.lit(mark))).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], x["end"].cast("int")).alias("at"), more.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    made = F.aggregate("all", start, step, lambda a: F.concat(a["out"], F.substr(F.col("t"), a["at"] + 1, F.char_length("t"))))
+    df = df.select("row", F.when(F.size("all") > 0, made).otherwise(F.col("row.text")).alias("new"))
+    kinds = dict(docs.dtypes)
+    changed = {"text": F.col("new"), "n_chars": F.when(F.col("new").isNull(), F.col("row.n_chars") if "n_chars" in kinds else F.lit(None)).otherwise(F.char_length("new")).cast(kinds.get("n_chars", "long"))}
+    return df.select(*((changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

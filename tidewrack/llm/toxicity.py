@@ -243,3 +243,15 @@ def scored(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None)
     made = rows.mapInArrow(_scores(index), "doc_id long, score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return made.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that are not predicted to be toxic, with all their columns; every row is judged by its own text."""
+    index = fit(docs, learnable(labels))
+    if index is None:
+        return docs
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, text_of().alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    made = rows.mapInArrow(_scores(index), f"row {kind}, score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
+    return made.where("score < 0.5").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
