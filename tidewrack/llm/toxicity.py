@@ -2,7 +2,8 @@
 
 A bounded sample of labelled documents is indexed. Its vocabulary is the terms
 whose document frequency differs between the classes beyond chance (likelihood
-ratio, corrected for the number of terms tried), since rare words of no class
+ratio, corrected for the number of terms tried) and by a real factor, since
+rare words of no class and common words of long texts
 would otherwise decide who is near. The inverted index is cut into blocks of
 examples with the largest weight of each term in each block: a query opens
 blocks in the order of their upper bounds and stops when no block can hold a
@@ -26,6 +27,9 @@ from .common import Scratch, small_batches, text_of
 
 #: Labelled examples of each class and terms that the index holds at most: the bounded sample of the fit.
 EXAMPLES, TERMS = 4096, 4096
+#: LIFT: factor by which a term's share of all words must differ between the classes, in either direction, so that
+#: common words do not count as evidence because the texts of a class are longer.
+LIFT = 3.0
 #: SURE: terms of no class that may be taken for one, of all terms tried, in expectation.
 NEIGHBOURS, BLOCK, SURE = 16, 64, 1.0
 #: Added to a distance before it is inverted, and the votes of the prior.
@@ -156,7 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     if not n0 + n1:
         return None
     tried = tf.select("term").distinct().count()
-    counted = tf.groupBy("term").agg(F.count(F.when(F.col("y") == 0, 1)).alias("a"), F.count(F.when(F.col("y") == 1, 1)).alias("b"))
+    said = tf.agg(*(F.sum(F.when(F.col("y") == y, F.col("tf"))) for y in (0, 1))).first()
+    seen_in = lambda y: F.col("y") == y
+    counted = tf.groupBy("term").agg(
+        *(F.count(F.when(seen_in(y), 1)).alias(c) for y, c in enumerate("ab")), *(F.coalesce(F.sum(F.when(seen_in(y), F.col("tf"))), F.lit(0)).alias(c) for y, c in enumerate("st"))
+    )
+    lift = (F.col("t") + 0.5) / (F.col("s") + 0.5) * ((said[0] or 0) + 1) / ((said[1] or 0) + 1)
     cells = []
     for x, size in (("a", n0), ("b", n1)):
         both = F.col("a") + F.col("b")
@@ -164,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
             expected = share * size / (n0 + n1)
             cells.append(F.when((seen > 0) & (expected > 0), seen * F.log(seen / F.nullif(expected, F.lit(0.0)))).otherwise(0.0))
     ratio = 2 * sum(cells[1:], cells[0])
-    picked = counted.withColumn("g", ratio).where(F.col("g") >= 2 * math.log(max(tried, 1) / SURE)).orderBy(F.desc("g"), "term").limit(terms)
+    picked = counted.withColumn("g", ratio).where((F.col("g") >= 2 * math.log(max(tried, 1) / SURE)) & ((lift >= LIFT) | (lift <= 1 / LIFT))).orderBy(F.desc("g"), "term").limit(terms)
     picked = scratch.save(picked.select("term", (F.col("a") + F.col("b")).alias("df")), "picked")
     known = sorted((r["term"], r["df"]) for r in picked.collect())  # `terms` rows at most
     names = np.array([t for t, _ in known], dtype=np.int64)
