@@ -1,10 +1,501 @@
-"""The registered queries of the timeline engine and their DuckDB oracles."""
+"""The registered queries of the timeline engine and their DuckDB oracles.
+
+Each query encodes rows of a table into artifact bytes, decodes them with the
+engine and is compared with SQL that computes the expected events directly
+from the table.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from . import encoders as E
+from .functions import times
+from .operators import evtx, lnk, mft
+from .plans import timeline as plan
+from .sources import triage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Events of one encoded file.
+PER_FILE = 32
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Encoding of table rows.
+
+
+def micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", micros("ts").alias("us"))
+
+
+def files(rows: DataFrame, key: str, folder: str, encode: Callable[[list[dict]], bytes], per: int = PER_FILE) -> DataFrame:
+    """(path, content): `per` rows with neighbouring keys make one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [f"/case/{folder}/{n}" for n in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([encode(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["path", "content"])
+
+    rows = rows.select(F.floor(F.col(key) / per).cast("long").alias("file"), F.struct(key, *(c for c in rows.columns if c != key)).alias("row"))
+    return rows.groupBy("file").agg(F.sort_array(F.collect_list("row")).alias("rows")).mapInArrow(run, "path string, content binary")
+
+
+def mft_files(spark: SparkSession, sf_dir: str, record: Callable[[dict], bytes]) -> DataFrame:
+    return files(events_of(spark, sf_dir), "event_id", "mft", lambda rows: b"".join(record(r) for r in rows))
+
+
+def mft_events(made: DataFrame) -> DataFrame:
+    return mft.events(mft.records(triage.units_of(made)))
+
+
+def plain_record(r: dict, created_shift: int = 0, parent: int | None = None) -> bytes:
+    t = [E.ticks(r["us"] + s * 1_000_000) for s in (0, 5, 10, 15)]
+    return E.mft_record([E.standard_information(tuple(t)), E.file_name(f"{r['event_type']}_{r['event_id']}.dat", r["user_id"] if parent is None else parent, E.ticks(r["us"] - created_shift * 1_000_000))])
+
+
+def at_text(zone: str = "+00:00") -> Column:
+    return times.rfc3339(F.struct(F.col("ts_sec").alias("sec"), F.col("ts_nano").alias("nano")), zone)
+
+
+def number_of(path: str) -> Column:
+    return F.get_json_object("extra", f"$.{path}").cast("long")
+
+
+def sql_time(us: str, zone: str = "+00:00") -> str:
+    return (
+        f"strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ({us}) % 1000000 = 0 THEN '' WHEN ({us}) % 1000 = 0 THEN '.' || lpad(CAST((({us}) % 1000000) // 1000 AS VARCHAR), 3, '0')"
+        f" ELSE '.' || lpad(CAST(({us}) % 1000000 AS VARCHAR), 6, '0') END || '{zone}'"
+    )
+
+
+US = "epoch_us(ts)"
+NAME = "event_type || '_' || event_id || '.dat'"
+MACB = "(VALUES (0, 0, 'mft_file_created', 'created'), (1, 5, 'mft_file_modified', 'modified'), (2, 10, 'mft_entry_modified', 'MFT entry modified'), (3, 15, 'mft_file_accessed', 'accessed')) k(seq, sec, event_type, verb)"
+MACB_US = f"{US} + k.sec * 1000000"
+
+
+# File table.
+
+
+@query(
+    f"""SELECT '/case/mft/' || event_id // {PER_FILE} AS artifact_path, {sql_time(MACB_US)} AS ts_text, k.event_type AS event_type, 'File ' || k.verb || ': ' || e.{NAME} AS description,
+    e.{NAME} AS target_path, rank() OVER (PARTITION BY event_id // {PER_FILE}, k.seq ORDER BY event_id) - 1 AS mft_entry, user_id AS parent_mft_ref FROM events e, {MACB}"""
+)
+def mft_macb_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record split, attribute walk, four events a record."""
+    got = mft_events(mft_files(spark, sf_dir, plain_record))
+    return got.select("artifact_path", at_text().alias("ts_text"), "event_type", "description", "target_path", number_of("mft_entry").alias("mft_entry"), number_of("parent_mft_ref").alias("parent_mft_ref"))
+
+
+@query(f"SELECT {NAME} AS target_path, event_id % 123 > 60 AS timestomp_suspected, CASE WHEN event_id % 123 > 60 THEN '{mft.NOTE}' END AS note FROM events")
+def mft_timestomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creation times that differ by more than 60 whole seconds; the skews straddle 60 and 61."""
+    got = mft_events(mft_files(spark, sf_dir, lambda r: plain_record(r, r["event_id"] % 123))).where("event_type = 'mft_file_created'")
+    return got.select("target_path", F.coalesce(F.get_json_object("extra", "$.timestomp_suspected").cast("boolean"), F.lit(False)).alias("timestomp_suspected"), F.get_json_object("extra", "$.note").alias("note"))
+
+
+@query("SELECT CASE WHEN event_id % 4 < (event_id // 4) % 4 THEN 'a_' ELSE 'b_' END || event_id AS target_path, least(event_id % 4, (event_id // 4) % 4) AS namespace FROM events")
+def mft_best_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two names the lowest namespace wins, the later of equals."""
+
+    def record(r: dict) -> bytes:
+        n, t = r["event_id"], E.ticks(r["us"])
+        return E.mft_record([E.standard_information((t, 0, 0, 0)), E.file_name(f"a_{n}", 5, t, n % 4), E.file_name(f"b_{n}", 5, t, n // 4 % 4)])
+
+    return mft_events(mft_files(spark, sf_dir, record)).select("target_path", number_of("namespace").alias("namespace"))
+
+
+@query(f"SELECT {NAME} AS target_path, user_id AS parent_mft_ref FROM events")
+def mft_parent_ref_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence bits of a parent reference are masked, the sign bit among them."""
+    made = mft_files(spark, sf_dir, lambda r: plain_record(r, parent=r["user_id"] | (r["event_id"] * 97 % 65536) << 48))
+    return mft_events(made).where("event_type = 'mft_file_created'").select("target_path", number_of("parent_mft_ref").alias("parent_mft_ref"))
+
+
+@query(f"SELECT {NAME} AS target_path, count(*) AS events FROM events, range(4) WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 GROUP BY ALL")
+def mft_skip_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of another signature and records without update sequence give nothing."""
+
+    def record(r: dict) -> bytes:
+        n = r["event_id"]
+        good = plain_record(r)
+        return b"BAAD" + good[4:] if n % 7 == 0 else good[:6] + b"\0\0" + good[8:] if n % 11 == 0 else good
+
+    # a file is recognised by its first slot, so one good record stands before the others
+    head = E.mft_record([])
+    made = files(events_of(spark, sf_dir), "event_id", "mft", lambda rows: head + b"".join(record(r) for r in rows))
+    return mft_events(made).groupBy("target_path").agg(F.count("*").alias("events"))
+
+
+# Shortcuts.
+
+
+def lnk_files(spark: SparkSession, sf_dir: str, encode: Callable[[dict], bytes]) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority", micros("o_orderdate").alias("us"))
+    return files(rows, "o_orderkey", "lnk", lambda got: encode(got[0]), per=1)
+
+
+def lnk_events(made: DataFrame) -> DataFrame:
+    return lnk.events(lnk.links(triage.units_of(made)), F.lit("2020-01-01 00:00:00").cast("timestamp"))
+
+
+ORDER_US = "epoch_us(o_orderdate)"
+LNK_TARGET = "CASE o_orderkey % 3 WHEN 0 THEN 'C:\\files\\' || o_orderkey || '.doc' WHEN 1 THEN '..\\é' || o_custkey ELSE '(no target)' END"
+
+
+@query(f"SELECT '/case/lnk/' || o_orderkey AS artifact_path, {sql_time(ORDER_US)} AS ts_text, {LNK_TARGET} AS target_path, 'Shortcut targets ' || {LNK_TARGET} AS description FROM orders")
+def lnk_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local path, else relative path, else none; an item list before them is passed over."""
+
+    def encode(r: dict) -> bytes:
+        n, t = r["o_orderkey"], E.ticks(r["us"])
+        return E.shortcut(t, t, t, local=f"C:\\files\\{n}.doc" if n % 3 == 0 else None, relative=f"..\\é{r['o_custkey']}" if n % 3 < 2 else None, ids=b"x" * (n % 9) if n % 2 else None)
+
+    return lnk_events(lnk_files(spark, sf_dir, encode)).select("artifact_path", at_text().alias("ts_text"), "target_path", "description")
+
+
+@query(
+    """SELECT '/case/lnk/' || o_orderkey AS artifact_path, 'Shortcut targets t' || CASE WHEN o_orderkey % 4 = 1 THEN ' with arguments:  /x ' || o_orderpriority ELSE '' END AS description,
+    CASE o_orderkey % 4 WHEN 1 THEN ' /x ' || o_orderpriority WHEN 2 THEN '  ' || chr(9) || chr(12288) WHEN 3 THEN '' END AS arguments FROM orders"""
+)
+def lnk_arguments_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments are told if they are not blank, white space of all scripts included."""
+
+    def encode(r: dict) -> bytes:
+        n, t = r["o_orderkey"], E.ticks(r["us"])
+        return E.shortcut(t, t, t, relative="t", arguments=(None, f" /x {r['o_orderpriority']}", "  \t\u3000", "")[n % 4])
+
+    return lnk_events(lnk_files(spark, sf_dir, encode)).select("artifact_path", "description", F.get_json_object("extra", "$.arguments").alias("arguments"))
+
+
+LNK_US = f"CASE WHEN o_orderkey % 2 = 0 THEN {ORDER_US} WHEN o_orderkey % 3 = 0 THEN {ORDER_US} + 7000000 WHEN o_orderkey % 5 = 0 THEN {ORDER_US} + 9123000 ELSE 1577836800000000 END"
+
+
+@query(
+    f"""SELECT '/case/lnk/' || o_orderkey AS artifact_path, {sql_time(f'({LNK_US})')} AS ts_text, CASE WHEN o_orderkey % 3 = 0 THEN {sql_time(ORDER_US + ' + 7000000')} END AS target_created FROM orders"""
+)
+def lnk_time_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write time, else creation time, else the file's, else now."""
+
+    def encode(r: dict) -> bytes:
+        n = r["o_orderkey"]
+        return E.shortcut(E.ticks(r["us"] + 7_000_000) if n % 3 == 0 else E.EPOCH, 0, E.ticks(r["us"]) if n % 2 == 0 else -5, relative="t")
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("/case/lnk/"), "o_orderkey").alias("path"), "o_orderkey", (micros("o_orderdate") + 9_123_000).alias("m"))
+    timed = orders.where("o_orderkey % 5 = 0").select("path", F.floor(F.col("m") / 1_000_000).alias("mtime_sec"), (F.pmod("m", F.lit(1_000_000)) * 1000).cast("int").alias("mtime_nano"))
+    made = lnk_files(spark, sf_dir, encode).join(timed, "path", "left")
+    return lnk_events(made).select("artifact_path", at_text().alias("ts_text"), F.get_json_object("extra", "$.target_created").alias("target_created"))
+
+
+@query(
+    """SELECT '/case/lnk/' || c_custkey AS artifact_path, left(c_name, 16) AS machine,
+    CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN '02:00:00:' || regexp_replace(lpad(lower(to_hex(c_custkey % 16777216)), 6, '0'), '(..)(..)(..)', '\\1:\\2:\\3') END AS mac FROM customer"""
+)
+def lnk_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machine and network address of the tracker block; other UUID versions and empty nodes give no address."""
+
+    def encode(rows: list[dict]) -> bytes:
+        n = rows[0]["c_custkey"]
+        node = bytes(6) if n % 7 == 0 else b"\x02\0\0" + (n % 16777216).to_bytes(3, "big")
+        return E.shortcut(0, 0, E.EPOCH + 1, relative="t", blocks=E.tracker(rows[0]["c_name"], E.uuid_with_node(node, 4 if n % 5 == 0 else 1)))
+
+    made = files(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name"), "c_custkey", "lnk", encode, per=1)
+    return lnk_events(made).select("artifact_path", F.get_json_object("extra", "$.builder_machine_id").alias("machine"), F.get_json_object("extra", "$.builder_mac_address").alias("mac"))
+
+
+@query("SELECT '/case/lnk/' || o_orderkey AS artifact_path, CASE WHEN o_orderkey % 40 > 16 THEN o_orderkey % 40 ELSE 0 END AS overlay_bytes, '0x00000088' AS link_flags, o_orderkey % 10 AS show_command FROM orders")
+def lnk_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes after the last block, told above 16; flags as padded hex."""
+    made = lnk_files(spark, sf_dir, lambda r: E.shortcut(0, 0, E.ticks(r["us"]), relative="t", show=r["o_orderkey"] % 10, tail=b"z" * (r["o_orderkey"] % 40)))
+    return lnk_events(made).select("artifact_path", F.coalesce(number_of("overlay_bytes"), F.lit(0)).alias("overlay_bytes"), F.get_json_object("extra", "$.link_flags").alias("link_flags"), number_of("show_command").alias("show_command"))
+
+
+# Event logs.
+
+
+def log_files(spark: SparkSession, sf_dir: str, add: Callable[[E.ChunkWriter, dict], None], folder: str = "evtx") -> DataFrame:
+    def encode(rows: list[dict]) -> bytes:
+        chunks = []
+        for half in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+            chunk = E.ChunkWriter()
+            for r in half:
+                add(chunk, r)
+            chunks.append(chunk.full())
+        return E.event_log(chunks)
+
+    return files(events_of(spark, sf_dir), "event_id", folder, encode)
+
+
+def log_events(made: DataFrame) -> DataFrame:
+    return evtx.events(evtx.records(triage.units_of(made)))
+
+
+def system_values(r: dict, event: int, provider: str | None, channel: str = "Security", created: bool = True) -> list[tuple[str, object]]:
+    return [("wstr", provider), ("u16", event), ("filetime", E.ticks(r["us"]) if created else None), ("u32", r["event_id"] % 2**32), ("u32", r["user_id"] % 5), ("u32", 8), ("wstr", channel), ("wstr", "WIN-DC01")]
+
+
+def template(names: tuple[str, ...], skip: tuple[str, ...] = ()) -> Callable[[E.Body], None]:
+    """System part over slots 0..7, then named data of type wstr."""
+
+    def build(body: E.Body) -> None:
+        E.system_part(body, skip)
+        body.open("EventData")
+        body.out += b"\x02"
+        for k, name in enumerate(names):
+            body.data(name, 8 + k, "wstr")
+        body.out += b"\x04\x04"
+
+    return build
+
+
+LOGON = ("TargetUserName", "LogonType", "IpAddress")
+
+
+def logon(chunk: E.ChunkWriter, r: dict, created: bool = True, shift: int = 0, junk: bytes = b"") -> None:
+    items = system_values(r, 4624, "Microsoft-Windows-Security-Auditing", created=created) + [("wstr", f"user{r['user_id']}"), ("u32", r["event_id"] % 12), ("wstr", r["event_type"])]
+    chunk.record(r["event_id"], E.ticks(r["us"] + shift), "logon", template(LOGON), items, junk)
+
+
+@query(
+    f"""SELECT '/case/evtx/' || event_id // {PER_FILE} AS artifact_path, {sql_time(US)} AS ts_text, 'evtx_event_4624' AS event_type, 'Logon: user' || user_id || ' (type ' || event_id % 12 || ') from ' || event_type AS description,
+    event_id AS record_id, user_id % 5 AS process_id, 'WIN-DC01' AS computer, CAST(event_id % 12 AS VARCHAR) AS logon_type FROM events"""
+)
+def evtx_logon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, records, templates shared by later records, values."""
+    got = log_events(log_files(spark, sf_dir, logon))
+    return got.select(
+        "artifact_path", at_text().alias("ts_text"), "event_type", "description", number_of("record_id").alias("record_id"), F.coalesce(number_of("process_id"), F.lit(0)).alias("process_id"),
+        F.get_json_object("extra", "$.computer").alias("computer"), F.get_json_object("extra", "$.fields.LogonType").alias("logon_type"),
+    )
+
+
+#: Event id, provider and field names of every kind of description; each field's value is its name and the event id.
+CASES = (
+    (4624, "P", LOGON), (4625, "P", ("TargetUserName", "IpAddress", "Status")), (4688, "P", ("NewProcessName", "ParentProcessName", "CommandLine")),
+    (1, "Microsoft-Windows-Sysmon", ("Image", "ParentImage", "CommandLine")), (3, "Microsoft-Windows-Sysmon", ("Image", "DestinationIp", "DestinationPort")),
+    (4720, "P", ("TargetUserName",)), (4728, "P", ("TargetUserName", "MemberName")), (4732, "P", ("TargetUserName", "MemberName")), (4756, "P", ("TargetUserName", "MemberName")),
+    (7045, "P", ("ServiceName", "ImagePath")), (4698, "P", ("TaskName",)), (1102, "P", ("SubjectUserName",)), (104, "P", ()), (4769, "P", ("ServiceName", "TargetUserName", "TicketEncryptionType")),
+    (4768, "P", ("TargetUserName", "TicketEncryptionType")), (1, "P", ("Image",)), (999, None, ()),
+)
+X = "|| event_id"
+DESCRIBED = f"""CASE event_id % {len(CASES)}
+ WHEN 0 THEN 'Logon: TargetUserName' {X} || ' (type LogonType' {X} || ') from IpAddress' {X} WHEN 1 THEN 'Failed logon: TargetUserName' {X} || ' from IpAddress' {X} || ' (status Status' {X} || ')'
+ WHEN 2 THEN 'Process created: NewProcessName' {X} || ' (parent ParentProcessName' {X} || ') cmd: CommandLine' {X} WHEN 3 THEN 'Sysmon process create: Image' {X} || ' (parent ParentImage' {X} || ') cmd: CommandLine' {X}
+ WHEN 4 THEN 'Sysmon network connection: Image' {X} || ' -> DestinationIp' {X} || ':DestinationPort' {X} WHEN 5 THEN 'User account created: TargetUserName' {X}
+ WHEN 9 THEN 'Service installed: ServiceName' {X} || ' (ImagePath' {X} || ')' WHEN 10 THEN 'Scheduled task created: TaskName' {X} WHEN 11 THEN 'Security audit log cleared by SubjectUserName' {X} WHEN 12 THEN 'System event log cleared'
+ WHEN 13 THEN 'Kerberos service ticket requested: ServiceName' {X} || ' by TargetUserName' {X} || ' (etype TicketEncryptionType' {X} || ')' WHEN 14 THEN 'Kerberos TGT requested by TargetUserName' {X} || ' (etype TicketEncryptionType' {X} || ')'
+ WHEN 15 THEN 'P event 1 on Security' WHEN 16 THEN 'Unknown provider event 999 on Security' ELSE 'Member added to privileged group TargetUserName' {X} || ': MemberName' {X} END"""
+
+
+@query(
+    f"""SELECT event_id AS record_id, {DESCRIBED} AS description, 'evtx_event_' || ([{', '.join(str(c[0]) for c in CASES)}])[event_id % {len(CASES)} + 1] AS event_type,
+    CASE event_id % {len(CASES)} WHEN 2 THEN 'NewProcessName' {X} WHEN 3 THEN 'Image' {X} WHEN 4 THEN 'Image' {X} WHEN 9 THEN 'ImagePath' {X} END AS target_path FROM events"""
+)
+def evtx_describe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every description, by event id and provider."""
+
+    def add(chunk: E.ChunkWriter, r: dict) -> None:
+        kind = r["event_id"] % len(CASES)
+        event, provider, names = CASES[kind]
+        chunk.record(r["event_id"], 0, kind, template(names), system_values(r, event, provider) + [("wstr", f"{n}{r['event_id']}") for n in names])
+
+    return log_events(log_files(spark, sf_dir, add)).select(number_of("record_id").alias("record_id"), "description", "event_type", "target_path")
+
+
+@query(f"SELECT event_id AS record_id, 'Logon: user' || user_id || ' (type ' || event_id % 12 || ') from ' || event_type AS description FROM events")
+def evtx_nested_eventdata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event data as a fragment of its own in a value, with its own template."""
+
+    def data(body: E.Body) -> None:
+        body.out += b"\x0f\x01\x01\0"
+        body.open("EventData")
+        body.out += b"\x02"
+        for k, name in enumerate(LOGON):
+            body.data(name, k, "wstr")
+        body.out += b"\x04"
+
+    def add(chunk: E.ChunkWriter, r: dict) -> None:
+        inner = [("wstr", f"user{r['user_id']}"), ("u32", r["event_id"] % 12), ("wstr", r["event_type"])]
+        outer = system_values(r, 4624, "P") + [("nested", lambda place: E.nested_fragment(place, data, inner))]
+        chunk.record(r["event_id"], 0, "outer", E.system_part, outer)
+
+    return log_events(log_files(spark, sf_dir, add)).select(number_of("record_id").alias("record_id"), "description")
+
+
+VALUES = ("u8", "u64", "bool", "binary", "guid", "filetime", "systemtime", "sid", "hex32", "hex64", "str", "i32")
+HEX4 = "upper(lpad(to_hex(event_id % 65536), 4, '0'))"
+
+
+@query(
+    f"""SELECT event_id AS record_id, CAST(event_id % 256 AS VARCHAR) AS u8, CAST(event_id AS VARCHAR) AS u64, CASE WHEN event_id % 2 = 1 THEN 'true' ELSE 'false' END AS bool,
+    lpad(lower(to_hex(event_id % 65536)), 4, '0') AS binary, '{{00000000-' || {HEX4} || '-0000-0102-03040506}}' AS guid, {sql_time(US)} AS filetime, strftime(make_timestamp({US}), '%Y-%m-%dT%H:%M:%SZ') AS systemtime,
+    'S-1-5-21-' || event_id || CASE WHEN event_id % 2 = 0 THEN '-500' ELSE '' END AS sid, '0x' || lpad(lower(to_hex(event_id % 65536)), 8, '0') AS hex32, '0x' || lpad(lower(to_hex(event_id)), 16, '0') AS hex64, 'é' || event_id AS str,
+    lpad(lower(to_hex(event_id % 256)), 2, '0') || '000000' AS i32 FROM events"""
+)
+def evtx_value_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One value of each type; signed integers are shown as bytes, identifiers with four node bytes."""
+
+    def build(body: E.Body) -> None:
+        E.system_part(body)
+        for k, name in enumerate(VALUES):
+            body.data(name, 8 + k, name)
+
+    def add(chunk: E.ChunkWriter, r: dict) -> None:
+        from datetime import datetime, timedelta
+
+        n, at = r["event_id"], datetime(1970, 1, 1) + timedelta(microseconds=r["us"])
+        subs = [21, n, 500][: 3 if n % 2 == 0 else 2]
+        made = {
+            "u8": n % 256, "u64": n, "bool": n % 2, "binary": (n % 65536).to_bytes(2, "big"), "guid": struct.pack("<IHH", 0, n % 65536, 0) + bytes(range(1, 9)), "filetime": E.ticks(r["us"]),
+            "systemtime": struct.pack("<8H", at.year, at.month, 0, at.day, at.hour, at.minute, at.second, 0), "sid": bytes([1, len(subs), 0, 0, 0, 0, 0, 5]) + struct.pack(f"<{len(subs)}I", *subs),
+            "hex32": n % 65536, "hex64": n, "str": f"é{n}", "i32": n % 256,
+        }
+        chunk.record(n, 0, "types", build, system_values(r, 5, "P") + [(k, made[k]) for k in VALUES])
+
+    got = log_events(log_files(spark, sf_dir, add))
+    return got.select(number_of("record_id").alias("record_id"), *(F.get_json_object("extra", f"$.fields.{k}").alias(k) for k in VALUES))
+
+
+@query("SELECT event_id AS record_id, 'Fallback' || event_id AS provider, 'S-1-5-18' AS user_sid, CAST(NULL AS VARCHAR) AS opcode FROM events")
+def evtx_system_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots without a name in the template get the fixed system names, one by one."""
+
+    def add(chunk: E.ChunkWriter, r: dict) -> None:
+        empty = [("wstr", None)] * 9
+        items = system_values(r, 5, f"Fallback{r['event_id']}") + empty + [("sid", bytes([1, 1, 0, 0, 0, 0, 0, 5, 18, 0, 0, 0]))]
+        chunk.record(r["event_id"], 0, "bare", lambda body: E.system_part(body, ("Provider",)), items)
+
+    got = log_events(log_files(spark, sf_dir, add))
+    return got.select(number_of("record_id").alias("record_id"), *(F.get_json_object("extra", f"$.{k}").alias(a) for k, a in (("provider", "provider"), ("user_sid", "user_sid"), ("fields.Opcode", "opcode"))))
+
+
+@query(f"SELECT event_id AS record_id, CASE WHEN event_id % 3 = 0 THEN {sql_time(US + ' + 1500')} ELSE {sql_time(US)} END AS ts_text FROM events")
+def evtx_time_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TimeCreated, else the record header's time."""
+    got = log_events(log_files(spark, sf_dir, lambda chunk, r: logon(chunk, r, created=r["event_id"] % 3 != 0, shift=1500)))
+    return got.select(number_of("record_id").alias("record_id"), at_text().alias("ts_text"))
+
+
+@query("SELECT event_id AS record_id, 'evtx_event_4624' AS event_type FROM events")
+def evtx_record_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbage and records of impossible size between records are passed over."""
+    bad = b"\x2a\x2a\0\0" + struct.pack("<I", 7) + bytes(8)
+    far = b"\x2a\x2a\0\0" + struct.pack("<I", 1 << 30) + bytes(8)
+    junk = (b"", b"junk" * 5, bad, far)
+    got = log_events(log_files(spark, sf_dir, lambda chunk, r: logon(chunk, r, junk=junk[r["event_id"] % 4])))
+    return got.select(number_of("record_id").alias("record_id"), "event_type")
+
+
+# Whole timelines.
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every kind, and some of none."""
+    junk = files(events_of(spark, sf_dir), "event_id", "junk", lambda rows: b"MZ" + bytes(len(rows)))
+    times_ = lambda r: E.ticks(r["us"])
+    short = files(events_of(spark, sf_dir).where("event_id % 10 = 0"), "event_id", "lnk", lambda rows: E.shortcut(0, 0, times_(rows[0]), relative=f"t{rows[0]['event_id']}"), per=10)
+    return mft_files(spark, sf_dir, plain_record).unionByName(log_files(spark, sf_dir, logon)).unionByName(short).unionByName(junk)
+
+
+def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.timeline(triage.units_of(mixed(spark, sf_dir)), F.lit("2020-01-01 00:00:00").cast("timestamp"))
+
+
+PATHS = f"""SELECT 'mft' AS source, '/case/mft/' || event_id // {PER_FILE} AS artifact_path, event_id, {US} + k.sec * 1000000 AS us, k.seq AS seq, k.event_type AS event_type, 'File ' || k.verb || ': ' || e.{NAME} AS description, e.{NAME} AS target_path FROM events e, {MACB}
+ UNION ALL SELECT 'evtx', '/case/evtx/' || event_id // {PER_FILE}, event_id, {US}, 0, 'evtx_event_4624', 'Logon: user' || user_id || ' (type ' || event_id % 12 || ') from ' || event_type, NULL FROM events
+ UNION ALL SELECT 'lnk', '/case/lnk/' || event_id // 10, event_id, {US}, 0, 'lnk_target_referenced', 'Shortcut targets t' || event_id, 't' || event_id FROM events WHERE event_id % 10 = 0"""
+
+
+@query(f"SELECT coalesce(kind, 'none') AS kind, count(*) AS files FROM (SELECT DISTINCT source AS kind, artifact_path FROM ({PATHS}) UNION ALL SELECT DISTINCT NULL, CAST(event_id // {PER_FILE} AS VARCHAR) FROM events) GROUP BY ALL")
+def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by kind; files of no known kind are counted too."""
+    units = triage.units_of(mixed(spark, sf_dir)).select("kind", "path").distinct()
+    return units.groupBy(F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count("*").alias("files"))
+
+
+@query(f"SELECT source, artifact_path, count(*) AS events FROM ({PATHS}) GROUP BY ALL")
+def per_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each file that has any."""
+    return plan.event_counts(mixed_events(spark, sf_dir))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY us, artifact_path, event_id, seq) AS place, source, artifact_path, event_type, description FROM ({PATHS})")
+def timeline_union_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in order of time; ties by path and place in the file. A global number is the point of this query, so its window has one partition."""
+    from pyspark.sql import Window
+
+    got = mixed_events(spark, sf_dir).withColumn("place", F.row_number().over(Window.orderBy(*plan.ORDER)).cast("long"))
+    return plan.ordered(got).select("place", "source", "artifact_path", "event_type", "description")
+
+
+@query(f"SELECT {sql_time('us', 'Z')} AS timestamp, source, event_type, description, artifact_path, target_path, target_path IS NOT NULL AS has_target FROM ({PATHS})")
+def timeline_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines, read back field by field."""
+    lines = plan.json_lines(mixed_events(spark, sf_dir)).select("value")
+    names = ("timestamp", "source", "event_type", "description", "artifact_path", "target_path")
+    return lines.select(*(F.get_json_object("value", f"$.{n}").alias(n) for n in names), F.contains("value", F.lit('"target_path":')).alias("has_target"))
+
+
+@query(f'SELECT {sql_time("us")} AS "Timestamp", source AS "Source", event_type AS "EventType", description AS "Description", artifact_path AS "ArtifactPath", coalesce(target_path, \'\') AS "TargetPath" FROM ({PATHS})')
+def timeline_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the CSV form."""
+    return plan.csv_rows(mixed_events(spark, sf_dir)).select(*plan.CSV_HEADER)
+
+
+# Times.
+
+TICKS = "(event_id - 500) * 36000000123457"
+
+
+@query(f"SELECT event_id, CASE WHEN {TICKS} + 116444736000000000 > 116444736000000000 THEN ({TICKS}) // 10000000 ELSE -99999999999 END AS sec, CASE WHEN {TICKS} > 0 THEN ({TICKS}) % 10000000 * 100 ELSE -1 END AS nano FROM events")
+def filetime_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times at and before 1970 are none."""
+    ticks = (F.col("event_id") - 500) * F.lit(36000000123457) + F.lit(times.EPOCH)
+    at = times.filetime_strict(ticks)
+    return events_of(spark, sf_dir).select("event_id", F.coalesce(at["sec"], F.lit(-99999999999)).alias("sec"), F.coalesce(at["nano"].cast("long"), F.lit(-1)).alias("nano"))
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN t + 116444736000000000 > 0 THEN CAST((t - ((t % 10000000) + 10000000) % 10000000) // 10000000 AS BIGINT) ELSE -99999999999 END AS sec,
+    CASE WHEN t + 116444736000000000 > 0 THEN (((t % 10000000) + 10000000) % 10000000) * 100 ELSE -1 END AS nano FROM (SELECT event_id, ({TICKS}) * 11 AS t FROM events)"""
+)
+def filetime_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times before 1970 are kept, by floor division; those before 1601 are none."""
+    ticks = (F.col("event_id") - 500) * F.lit(36000000123457 * 11) + F.lit(times.EPOCH)
+    at = times.filetime_signed(ticks)
+    return events_of(spark, sf_dir).select("event_id", F.coalesce(at["sec"], F.lit(-99999999999)).alias("sec"), F.coalesce(at["nano"].cast("long"), F.lit(-1)).alias("nano"))
+
+
+STEP = "CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1000000 END"
+
+
+@query(f"SELECT event_id, {sql_time(f'(epoch_us(ts) // ({STEP}) * ({STEP}))', 'Z')} AS text FROM events")
+def rfc3339_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As few digits of a second as are exact."""
+    step = F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, 1000).otherwise(1_000_000)
+    us = F.floor(F.col("us") / step) * step
+    at = times.moment(F.floor(us / 1_000_000), F.pmod(us, F.lit(1_000_000)) * 1000)
+    return events_of(spark, sf_dir).select("event_id", times.rfc3339(at, "Z").alias("text"))
