@@ -79,8 +79,8 @@ ROLLING = K.Rolling(K.R2)
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(first document, bytes, offsets, windows before) of blocks that fit BITS; long documents overlap by length - 1 bytes."""
-    most = 1 << (BITS - 1)
-    for i, j in K.blocks(offsets):
+    most = 1 << (BITS - 1)  # a block above it is one document
+    for i, j in K.blocks(offsets, min(K.PIECE, most)):
         a, b = int(offsets[i]), int(offsets[j])
         if b - a <= most:
             yield i, data[a:b], offsets[i : j + 1] - a, 0

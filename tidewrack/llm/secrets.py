@@ -99,14 +99,14 @@ def _literal(values: list, quote: bool = False) -> str:
 def battery(tokens: str) -> str:
     """SQL for the array of (p, c) of an array of strings without padding: Fisher's joint p-value, length class.
 
-    p is null for digits alone and for strings that mix alphabets. Each nested
+    p is null for digits alone, for strings that mix alphabets and for those too short without padding. Each nested
     transform adds one step, so nothing is computed twice.
     """
     alphabets = [a for _, _, a in ENCODINGS]
     shares = [[sum(cell(x) == c for x in a) / len(a) for c in range(9)] for a in alphabets]
     free = [sum(x > 0 for x in row) - 1.0 for row in shares]
     masks = ["0" * (len(a) // 2) + "1" * (len(a) - len(a) // 2) for a in alphabets]
-    encoding = "CASE WHEN x RLIKE '^[0-9]*$' THEN NULL " + " ".join(f"WHEN x RLIKE '{test}' THEN {k}" for k, (_, test, _) in enumerate(ENCODINGS)) + " END"
+    encoding = f"CASE WHEN char_length(x) < {LENGTHS[0]} OR x RLIKE '^[0-9]*$' THEN NULL " + " ".join(f"WHEN x RLIKE '{test}' THEN {k}" for k, (_, test, _) in enumerate(ENCODINGS)) + " END"
     count = lambda text, piece: f"(y.n - char_length(replace({text}, '{piece}', '')))"
     # Classes without a share have no symbols in the string, so their terms are 0 / 1.
     chi = " + ".join(f"pow({count('y.cells', c)}, 2) / (y.n * if(get(y.shares, {c}) > 0, get(y.shares, {c}), 1D))" for c in range(9)) + " - y.n"
@@ -116,7 +116,7 @@ def battery(tokens: str) -> str:
         a -> try_divide(a.p - a.s / y.n * (2 * a.s - a.first - a.last) + (y.n - 1) * pow(a.s / y.n, 2), nullif(a.q - a.s * a.s / y.n, 0D)) * sqrt(y.n))"""
     runs = "1 + (y.n - char_length(replace(y.bits, '01', ''))) / 2 + (y.n - char_length(replace(y.bits, '10', ''))) / 2"
     steps = [
-        ("x", f"named_struct('x', x, 'n', cast(char_length(x) AS double), 'e', {encoding})"),
+        ("x", f"named_struct('x', x, 'n', cast(greatest(char_length(x), {LENGTHS[0]}) AS double), 'e', {encoding})"),
         (
             "y",
             f"""named_struct('x', y.x, 'n', y.n, 'alphabet', get({_literal(alphabets, True)}, y.e), 'shares', get({_literal([_literal(r) for r in shares])}, y.e), 'df', get({_literal(free)}, y.e),

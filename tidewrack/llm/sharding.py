@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, text_of
 
-#: A group is split if it holds more than 1 / SPLIT of one shard in any dimension; rows in a packing task, about; most tasks.
-SPLIT, TASK_ROWS, MOST_TASKS = 32, 100_000, 4096
+#: A group is split if it holds more than 1 / SPLIT of what one task gives one shard, in any dimension; rows in a task, about; most tasks.
+SPLIT, TASK_ROWS, MOST_TASKS = 4, 100_000, 4096
 #: Weights of bytes, tokens and rows in the dot product: the law holds for bytes.
 WEIGHTS = np.array([8.0, 1.0, 1.0])
 
@@ -111,12 +111,12 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     rows = scratch.save(rows, "rows")
     total = rows.agg(F.count("*"), F.sum("size"), F.sum("tokens")).first()
     count = max(1, total[0])
-    limit = [max(1, (x or 0) / (shards * SPLIT)) for x in (total[1], total[2], total[0])]
+    tasks = int(min(MOST_TASKS, max(1, -(-count // TASK_ROWS))))
+    limit = [max(1, (x or 0) / (shards * SPLIT * tasks)) for x in (total[1], total[2], total[0])]
     groups = rows.groupBy("print").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
     share = F.greatest(F.col("b") / limit[0], F.col("t") / limit[1], F.col("r") / limit[2])
-    # Each has over 1 / (shards * SPLIT) of a total, in one of three dimensions: at most 3 * shards * SPLIT groups.
+    # Each has over 1 / (shards * SPLIT * tasks) of a total, in one of three dimensions: at most 3 * shards * SPLIT * tasks groups.
     hot = groups.where((share > 1) & (F.col("r") > 1)).select("print", F.ceil(share).cast("long").alias("chunks"))
-    tasks = int(min(MOST_TASKS, max(1, -(-count // TASK_ROWS))))
     dealt = rows.join(F.broadcast(hot), "print", "left").withColumn("chunk", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).otherwise(F.lit(0).cast("long")))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("print", "chunk"), F.lit(tasks)).cast("long")).drop("chunks")
     binned = scratch.save(dealt.repartition(tasks, "part").mapInArrow(_packed(shards), "doc_id long, size long, text_crc32 long, tokens long, part long, bin long, at long"), "binned")
