@@ -60,7 +60,10 @@ def files(rows: DataFrame, key: str, folder: str, encode: Callable[[list[dict]],
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([encode(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["path", "content"])
 
     rows = rows.select(F.floor(F.col(key) / per).cast("long").alias("file"), F.struct(key, *(c for c in rows.columns if c != key)).alias("row"))
-    return rows.groupBy("file").agg(F.sort_array(F.collect_list("row")).alias("rows")).mapInArrow(run, "path string, content binary")
+    # an explicit width: adaptive coalescing would put these few bytes, which decode to much work, into one task
+    spark = rows.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(width, "file").groupBy("file").agg(F.sort_array(F.collect_list("row")).alias("rows")).mapInArrow(run, "path string, content binary")
 
 
 def mft_files(spark: SparkSession, sf_dir: str, record: Callable[[dict], bytes]) -> DataFrame:
