@@ -242,6 +242,16 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert embeddings.classes(df.limit(0)).count() == 0
 
 
+def test_recall_counts_links_that_the_shards_lost(spark):
+    a, b = np.array([1.0, 0.0]).tobytes(), np.array([0.95, np.sqrt(1 - 0.95**2)]).tobytes()
+    rows = [(0, 2, 1, 1, bytearray(a)), (0, 2, 2, 3, bytearray(b)), (1, 2, 3, 1, bytearray(a)), (0, 2, 4, 1, bytearray(np.array([-1.0, 0.0]).tobytes()))]
+    nodes = spark.createDataFrame(rows, "label long, dim int, vec_id long, size long, unit binary")
+    counts = lambda *rows: spark.createDataFrame(list(rows), "vec_id long, others long")
+    assert embeddings.recall(nodes, counts((1, 3), (2, 1), (3, 0)), 0.93) == 1
+    assert embeddings.recall(nodes, counts((1, 3)), 0.93) == 0.75  # links to the three equal vectors of node 2 found, its own missed
+    assert embeddings.recall(nodes, counts(), 0.93) == 0 and embeddings.recall(nodes.limit(0), counts(), 0.93) == 1
+
+
 # 5
 
 BASE = {
