@@ -85,7 +85,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, percent: i
     """`docs` without the documents that contain an item; rows with a null doc_id stay."""
     hit = contained(docs, benchmark, size, percent).select("doc_id").distinct()
     hit = Scratch(docs.sparkSession).save(hit, "hit")
-    return docs.join(bounded(hit, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bounded(hit, BROADCAST_IDS), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""
