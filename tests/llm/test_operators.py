@@ -395,6 +395,10 @@ def test_language(spark):
     odd = spark.createDataFrame([(1, None, None), (None, "no url", ""), (2, "https://h.example.de/x", "<html lang='de'></html>"), (2, "https://h.example.de/x", "<html lang='de'></html>")], "page_id long, url string, html string").withColumn("host", F.lit(1))
     assert language.identify(odd, documents).count() == 4
     assert language.identify(odd, documents.limit(0)).where("lang is not null").count() == 0 and language.identify(pages.limit(0), documents).count() == 0
+    first, second = (documents.where(f"lang = '{x}' and n_chars between 200 and 2000").first()["text"] for x in sorted(r["lang"] for r in documents.where("lang is not null").select("lang").distinct().collect())[:2])
+    rows = [(k, None, first) for k in range(30)] + [(100 + k, f"https://h{k}.example{k}.net/", second) for k in range(30)] + [(999, None, None)]
+    unsaid = language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), documents).where("page_id = 999").first()
+    assert 0.4 < unsaid["posterior"] < 0.6  # half of all pages, though every other page without host is in one language
     text = language.visible("<script>var a='<p>';</script><nav>menu</nav><p>said &amp; done<!-- no --></p>")
     assert text.split() == ["said", "done"]
 

@@ -115,8 +115,8 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     """Language of each of `pages` (page_id, url, html), learned from `documents` (doc_id, text, lang).
 
     Returns page_id, lang, posterior, text_lang (by the text alone) and
-    declared. Evidence that is missing (null or empty html, no declaration, no
-    host) leaves the posterior as it is. Repeated rows are judged each, a null
+    declared. Evidence that is missing (null or empty html, no declaration)
+    leaves the posterior as it is; a page without host has the prior of all pages. Repeated rows are judged each, a null
     page_id stays null; without labelled documents lang is null.
     """
     small_batches(pages.sparkSession)
@@ -143,7 +143,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     fixed = F.array(*(F.lit(x) for x in base))
     # text decisions of a host, smoothed by its domain's, smoothed by all pages'; a page's own decision is a small part
     domains = counts("domain").select("domain", shrunk(F.col("n"), fixed).alias("above"))
-    hosts = scratch.save(counts("host", "domain").join(domains, "domain").select("host", shrunk(F.col("n"), F.col("above")).alias("prior")), "hosts")
+    hosts = scratch.save(counts("host", "domain").where("host != ''").join(domains, "domain").select("host", shrunk(F.col("n"), F.col("above")).alias("prior")), "hosts")
 
     def likelihoods(by: str, of: str) -> DataFrame:
         """P(value | language) up to a factor: (count + its expectation) / (pages of the language + 1)."""
