@@ -323,6 +323,18 @@ def test_toxicity(spark, docs, none):
     assert accepted.columns == docs.columns and accepted.count() == docs.count()
 
 
+def test_toxicity_indexes_every_term(spark):
+    rng = random.Random(12)
+    texts = [f"{prose(rng, 30)} {'scum idiot' if k % 4 == 0 else ''}" for k in range(400)]
+    copied = next(k for k in range(0, 400, 4) if zlib.crc32(str(k).encode()) % 5)
+    texts[copied] = " ".join(f"rare{k}" for k in range(30))  # a toxic example without a telling word
+    data, marks = table(spark, [*texts, texts[copied], prose(rng, 30)]), spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scored(data, marks).collect()}
+    first = got[400]["evidence"][0]
+    assert (first["doc_id"], first["toxic"]) == (copied, 1) and first["cosine"] > 0.999999
+    assert got[400]["score"] > got[401]["score"] and all(r["evidence"] for r in got.values())
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(3)
     index = toxicity.Index(np.arange(40), np.ones(40), np.arange(500), rng.integers(0, 2, 500).astype(float), np.ones(500), [], 0.1)

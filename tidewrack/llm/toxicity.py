@@ -1,21 +1,21 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-A bounded sample of labelled documents is indexed. Its vocabulary is the terms
-whose document frequency differs between the classes beyond chance (likelihood
-ratio, corrected for the number of terms tried) and by a real factor, since
-rare words of no class and common words of long texts
-would otherwise decide who is near. The inverted index is cut into blocks of
-examples with the largest weight of each term in each block: a query opens
-blocks in the order of their upper bounds and stops when no block can hold a
-nearer example, so its neighbours are exact. They vote with weights that fall
-with distance; leave-one-out votes of the examples calibrate the score.
+A bounded sample of labelled documents is indexed with all its terms; inverse
+document frequencies are counted over all documents. A query adds up the
+postings of all its terms, so its neighbours are exact. They vote with weights
+that fall with distance. A second vote is that of the nearest examples by the
+telling terms alone: those whose document frequency differs between the
+classes beyond chance (likelihood ratio, corrected for the number of terms
+tried) and by a real factor, which few toxic words in a long text would
+otherwise not outweigh. Leave-one-out votes of the examples calibrate the
+score from both.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,41 +25,61 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import Scratch, small_batches, text_of
 
-#: Labelled examples of each class and terms that the index holds at most: the bounded sample of the fit.
-EXAMPLES, TERMS = 4096, 4096
-#: LIFT: factor by which a term's share of all words must differ between the classes, in either direction, so that
-#: common words do not count as evidence because the texts of a class are longer.
+#: Labelled examples of each class that the index holds at most: the bounded sample of the fit.
+EXAMPLES = 4096
+#: LIFT: factor by which a telling term's share of all words must differ between the classes, in either direction, so that
+#: common words do not count as telling because the texts of a class are longer.
 LIFT = 3.0
-#: SURE: terms of no class that may be taken for one, of all terms tried, in expectation.
-NEIGHBOURS, BLOCK, SURE = 16, 64, 1.0
+#: SURE: terms of no class that may be taken for telling, of all terms tried, in expectation.
+NEIGHBOURS, SURE = 16, 1.0
 #: Added to a distance before it is inverted, and the votes of the prior.
 FLOOR, PRIOR_VOTES = 0.05, 0.5
 
 
-def _counts(vocabulary: np.ndarray | None) -> Callable:
-    """doc_id, term, tf of every text; of the terms of `vocabulary` (sorted) alone if it is given."""
+def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, tf) of every distinct term of each text, in order."""
+    words = K.Words(data, offsets, K.PUNCTUATION)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
+    h = words.hashes.view(np.int64)
+    order = np.lexsort((h, doc))
+    d, h = doc[order], h[order]
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    at = np.flatnonzero(new)
+    return d[at], h[at], np.diff(np.append(at, len(d)))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, term, tf of every text."""
+    for batch in batches:
+        data, offsets = K.flat(batch.column(1))
+        for i, j in K.blocks(offsets):
+            d, h, tf = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            ids = batch.column(0).slice(i, j - i).take(pa.array(d))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(h), pa.array(tf.astype(np.int64))], names=["doc_id", "term", "tf"])
+
+
+def _spread(terms: np.ndarray) -> Callable:
+    """at, df: texts that hold each of `terms` (sorted), and the number of all texts at len(terms); a partial count a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
-            data, offsets = K.flat(batch.column(1))
+            data, offsets = K.flat(batch.column(0))
+            df[-1] += batch.num_rows
             for i, j in K.blocks(offsets):
-                words = K.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], K.PUNCTUATION)
-                doc = np.repeat(np.arange(j - i), np.diff(words.first))
-                order = np.lexsort((words.hashes, doc))
-                d, h = doc[order], words.hashes[order].view(np.int64)
-                new = np.ones(len(d), dtype=bool)
-                new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-                at = np.flatnonzero(new)
-                tf = np.diff(np.append(at, len(d)))
-                ids = batch.column(0).slice(i, j - i).take(pa.array(d[at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(h[at]), pa.array(tf.astype(np.int64))], names=["doc_id", "term", "tf"])
+                _, h, _ = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+                df[:-1] += np.bincount(at[terms[at] == h], minlength=len(terms))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["at", "df"])
 
     return run
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of the examples' unit vectors, and the calibrated vote."""
+    """Inverted index of the examples' unit vectors, and the calibrated vote."""
 
     terms: np.ndarray  # sorted term hashes
     idf: np.ndarray
@@ -68,23 +88,21 @@ class Index:
     weight: np.ndarray  # documents that an example stands for
     vectors: list[tuple[np.ndarray, np.ndarray]]  # (term numbers, weights)
     none: float  # score of a text without any of the terms
-    slope: float = 1.0
+    slopes: tuple[float, ...] = (1.0,)
     shift: float = 0.0
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
-    highest: np.ndarray | None = None
+    #: The same examples by their telling terms alone; examples without any are left to the other vote.
+    telling: Index | None = None
+    #: Postings by term: those of term t are first[t]:first[t + 1] of example and value.
+    first: np.ndarray | None = None
+    example: np.ndarray | None = None
+    value: np.ndarray | None = None
 
     def build(self) -> Index:
-        blocks = -(-len(self.ids) // BLOCK)
-        self.highest = np.zeros((len(self.terms), blocks), dtype=np.float64)
-        self.postings = []
-        for b in range(blocks):
-            held: dict[int, list[tuple[int, float]]] = {}
-            for k, (t, w) in enumerate(self.vectors[b * BLOCK : (b + 1) * BLOCK]):
-                for x, y in zip(t.tolist(), w.tolist(), strict=True):
-                    held.setdefault(x, []).append((k, y))
-            self.postings.append({t: (np.array([k for k, _ in v]), np.array([y for _, y in v])) for t, v in held.items()})
-            for t, v in held.items():
-                self.highest[t, b] = max(y for _, y in v)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.vectors)])
+        order = np.argsort(term, kind="stable")
+        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.example = np.repeat(np.arange(len(self.vectors)), [len(t) for t, _ in self.vectors])[order].astype(np.int32)
+        self.value = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])[order]
         return self
 
     def vector(self, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,24 +111,16 @@ class Index:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the NEIGHBOURS nearest with a common term; ties go to the earlier example."""
-        bound = weight @ self.highest[term]
-        found, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < worst - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                if t in self.postings[b]:
-                    at, y = self.postings[b][t]
-                    score[at] += w * y
-            hit = np.flatnonzero(score > 0)
-            number = hit + b * BLOCK
-            hit, number = hit[number != without], number[number != without]
-            found, cosines = np.concatenate([found, number]), np.concatenate([cosines, np.round(score[hit], 12)])
-            keep = np.lexsort((found, -cosines))[:NEIGHBOURS]
-            found, cosines = found[keep], cosines[keep]
-            worst = cosines[-1] if len(found) == NEIGHBOURS else 0.0
-        return found, cosines
+        start, size = self.first[term], self.first[term + 1] - self.first[term]
+        at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+        score = np.round(np.bincount(self.example[at], self.value[at] * np.repeat(weight, size), len(self.ids)), 12)
+        if without >= 0:
+            score[without] = 0
+        found = np.flatnonzero(score > 0)
+        if len(found) > NEIGHBOURS:
+            found = found[score[found] >= np.partition(score[found], -NEIGHBOURS)[-NEIGHBOURS]]
+        found = found[np.lexsort((found, -score[found]))[:NEIGHBOURS]]
+        return found, score[found]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Logit of the distance-weighted share of toxic neighbours."""
@@ -120,24 +130,60 @@ class Index:
         share = min(max(share, 1e-4), 1 - 1e-4)
         return math.log(share / (1 - share))
 
-    def score(self, vote: float) -> float:
-        return 1 / (1 + math.exp(-max(min(self.slope * vote + self.shift, 30), -30)))
-
-
-def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a weighted logistic fit (Newton steps, slightly damped towards slope 1)."""
-    a = np.array([1.0, 0.0])
-    x = np.stack([votes, np.ones(len(votes))], axis=1)
+    def score(self, votes: tuple[float, ...]) -> float:
+        total = sum(a * x for a, x in zip(self.slopes, votes, strict=True)) + self.shift
+        return 1 / (1 + math.exp(-max(min(total, 30), -30)))
+
+    def known(self, h: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of a text of terms h; empty without a term of the index."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        hit = self.terms[at] == h
+        return self.vector(at[hit], tf[hit]) if hit.any() else (at[hit], np.zeros(0))
+
+    def judge(self, h: np.ndarray, tf: np.ndarray, without: int | None = None) -> tuple[tuple[float, float], np.ndarray, np.ndarray]:
+        """(votes by all and by telling terms, nearest examples by all terms, cosines); `without` the example of that doc_id."""
+        votes, near = [], []
+        for index in (self, self.telling):
+            at = -1 if without is None else int(np.searchsorted(index.ids, without))
+            at = at if 0 <= at < len(index.ids) and index.ids[at] == without else -1
+            near.append(index.nearest(*index.known(h, tf), without=at) if len(index.ids) else (np.zeros(0, np.int64), np.zeros(0)))
+            votes.append(index.vote(*near[-1]) if len(near[-1][0]) else math.log(index.none / (1 - index.none)))
+        return tuple(votes), *near[0]
+
+
+def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and shift of a weighted logistic fit of [example, vote] (Newton steps, slightly damped towards the mean vote)."""
+    k = votes.shape[1]
+    start = np.append(np.full(k, 1 / k), 0.0)
+    a, x = start, np.column_stack([votes, np.ones(len(votes))])
     w = weight / max(weight.mean(), 1e-12)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        g = x.T @ (w * (p - toxic)) + np.array([a[0] - 1, a[1]])
-        h = (x * (w * p * (1 - p))[:, None]).T @ x + np.eye(2)
+        g = x.T @ (w * (p - toxic)) + a - start
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + np.eye(k + 1)
         a = a - np.linalg.solve(h, g)
-    return max(float(a[0]), 0.05), float(a[1])
-
-
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index | None:
+    return tuple(max(float(y), 0.05) for y in a[:-1]), float(a[-1])
+
+
+def telling(number: np.ndarray, tf: np.ndarray, doc: np.ndarray, toxic: np.ndarray, terms: int) -> np.ndarray:
+    """Of the `terms` terms, those that tell the classes apart; term number, count and example of each posting."""
+    y = toxic[doc].astype(bool)
+    n = [float((toxic == k).sum()) for k in (0, 1)]
+    seen = [np.bincount(number[y == k], minlength=terms).astype(float) for k in (0, 1)]
+    said = [np.bincount(number[y == k], tf[y == k], terms) for k in (0, 1)]
+    lift = (said[1] + 0.5) / (said[0] + 0.5) * (said[0].sum() + 1) / (said[1].sum() + 1)
+    both, ratio = seen[0] + seen[1], np.zeros(terms)
+    for k in (0, 1):
+        for here, share in ((seen[k], both), (n[k] - seen[k], sum(n) - both)):
+            expected = share * n[k] / sum(n)
+            some = (here > 0) & (expected > 0)
+            ratio[some] += 2 * here[some] * np.log(here[some] / expected[some])
+    return np.flatnonzero((ratio >= 2 * math.log(max(terms, 1) / SURE)) & ((lift >= LIFT) | (lift <= 1 / LIFT)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index | None:
     """Index of at most `examples` of each class of `labels` (doc_id, toxic) with their texts in `docs`.
 
     Null labels, ids and ids with labels of both kinds are left out; repeated
@@ -153,54 +199,44 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     chosen = marked.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).unionByName(marked.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples))
     chosen = scratch.save(chosen, "chosen")  # 2 * examples rows at most
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
-    tf = source.mapInArrow(_counts(None), "doc_id long, term long, tf long").groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
-    tf = scratch.save(tf.join(F.broadcast(chosen), "doc_id"), "tf")
-    n = {r["y"]: r["n"] for r in tf.groupBy("y").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    if not n0 + n1:
+    tf = source.mapInArrow(_counts, "doc_id long, term long, tf long").groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
+    held_ids, held_terms, counts = (c.to_numpy() for c in scratch.save(tf, "tf").toArrow().columns)  # the terms of 2 * examples texts
+    if not len(counts):
         return None
-    tried = tf.select("term").distinct().count()
-    said = tf.agg(*(F.sum(F.when(F.col("y") == y, F.col("tf"))) for y in (0, 1))).first()
-    seen_in = lambda y: F.col("y") == y
-    counted = tf.groupBy("term").agg(
-        *(F.count(F.when(seen_in(y), 1)).alias(c) for y, c in enumerate("ab")), *(F.coalesce(F.sum(F.when(seen_in(y), F.col("tf"))), F.lit(0)).alias(c) for y, c in enumerate("st"))
-    )
-    lift = (F.col("t") + 0.5) / (F.col("s") + 0.5) * ((said[0] or 0) + 1) / ((said[1] or 0) + 1)
-    cells = []
-    for x, size in (("a", n0), ("b", n1)):
-        both = F.col("a") + F.col("b")
-        for seen, share in ((F.col(x), both), (size - F.col(x), n0 + n1 - both)):
-            expected = share * size / (n0 + n1)
-            cells.append(F.when((seen > 0) & (expected > 0), seen * F.log(seen / F.nullif(expected, F.lit(0.0)))).otherwise(0.0))
-    ratio = 2 * sum(cells[1:], cells[0])
-    picked = counted.withColumn("g", ratio).where((F.col("g") >= 2 * math.log(max(tried, 1) / SURE)) & ((lift >= LIFT) | (lift <= 1 / LIFT))).orderBy(F.desc("g"), "term").limit(terms)
-    picked = scratch.save(picked.select("term", (F.col("a") + F.col("b")).alias("df")), "picked")
-    known = sorted((r["term"], r["df"]) for r in picked.collect())  # `terms` rows at most
-    names = np.array([t for t, _ in known], dtype=np.int64)
-    idf = np.array([math.log((1 + n0 + n1) / (1 + df)) + 1 for _, df in known])
-    of: dict[int, list[tuple[int, int]]] = {}
-    for r in tf.join(F.broadcast(picked), "term", "left_semi").select("doc_id", "term", "tf").toLocalIterator():  # 2 * examples * terms at most
-        of.setdefault(r["doc_id"], []).append((int(np.searchsorted(names, r["term"])), r["tf"]))
+    order = np.lexsort((held_terms, held_ids))
+    held_ids, held_terms, counts = held_ids[order], held_terms[order], counts[order]
+    names, number = np.unique(held_terms, return_inverse=True)
+    spread = docs.select(text_of().alias("text")).mapInArrow(_spread(names), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(len(names) + 1)
+    df[spread["at"].to_numpy()] = spread["df"].to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     label = {r["doc_id"]: r["y"] for r in chosen.collect()}
-    stands = {0: total.get(0, 0) / max(n0, 1), 1: total.get(1, 0) / max(n1, 1)}
-    without = {y: n.get(y, 0) - sum(label[d] == y for d in of) for y in (0, 1)}
-    none = (without[1] * stands[1] + 0.5 * total.get(1, 0) / sum(total.values())) / (sum(without[y] * stands[y] for y in (0, 1)) + 0.5)
-    index = Index(names, idf, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [], min(max(none, 1e-4), 1 - 1e-4))
-    rows = []
-    for d, pairs in of.items():
-        t = np.array(sorted(pairs))
-        rows.append((d, *index.vector(t[:, 0], t[:, 1])))
-    # Like vectors share blocks: sorted by their strongest terms, which makes the bounds tight.
-    rows.sort(key=lambda r: (r[1][np.argsort(-r[2], kind="stable")][:4].tolist(), r[0]))
-    index.ids = np.array([r[0] for r in rows], dtype=np.int64)
-    index.toxic = np.array([label[r[0]] for r in rows], dtype=np.float64)
-    index.weight = np.array([stands[label[r[0]]] for r in rows])
-    index.vectors = [(r[1], r[2]) for r in rows]
-    index.build()
-    if rows:
-        votes = np.array([index.vote(*index.nearest(t, w, without=k)) for k, (t, w) in enumerate(index.vectors)])
-        index.slope, index.shift = calibrate(votes, index.toxic, index.weight)
-    index.vectors = []
+    ids, doc = np.unique(held_ids, return_inverse=True)
+    toxic = np.array([label[d] for d in ids.tolist()], dtype=np.float64)
+    rate = total.get(1, 0) / sum(total.values())
+    stands = {y: total.get(y, 0) / max((toxic == y).sum(), 1) for y in (0, 1)}
+    weight = np.array([stands[y] for y in toxic.tolist()])
+
+    def over(kept: np.ndarray) -> Index:
+        """Index of the examples by the terms `kept` (sorted numbers)."""
+        place = np.full(len(names), -1)
+        place[kept] = np.arange(len(kept))
+        at = np.flatnonzero(place[number] >= 0)
+        held, first = np.unique(doc[at], return_index=True)
+        left = np.ones(len(ids), dtype=bool)
+        left[held] = False
+        none = ((weight * toxic)[left].sum() + 0.5 * rate) / (weight[left].sum() + 0.5)
+        index = Index(names[kept], idf[kept], ids[held], toxic[held], weight[held], [], min(max(none, 1e-4), 1 - 1e-4))
+        index.vectors = [index.vector(place[number[x]], counts[x]) for x in np.split(at, first[1:])] if len(held) else []
+        index.build()
+        index.vectors = []
+        return index
+
+    index = over(np.arange(len(names)))
+    index.telling = over(telling(number, counts, doc, toxic, len(names)))
+    starts = np.flatnonzero(np.diff(doc)) + 1
+    votes = [index.judge(h, n, d)[0] for h, n, d in zip(np.split(names[number], starts), np.split(counts, starts), ids.tolist(), strict=True)]
+    index.slopes, index.shift = calibrate(np.array(votes), toxic, weight)
     scratch.drop("marked", "tf")
     return index
 
@@ -212,17 +248,12 @@ def _scores(index: Index) -> Callable:
             score = np.full(batch.num_rows, index.none)
             evidence: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for i, j in K.blocks(offsets) if len(index.terms) else ():
-                words = K.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], K.PUNCTUATION)
-                h = words.hashes.view(np.int64)
-                at = np.searchsorted(index.terms, h)
-                at[at == len(index.terms)] = 0
-                hit = np.flatnonzero(index.terms[at] == h)
-                doc = np.searchsorted(words.first, hit, side="right") - 1
-                for d in np.unique(doc).tolist():
-                    term, tf = np.unique(at[hit[doc == d]] if len(hit) < 64 else at[hit[np.searchsorted(doc, d) : np.searchsorted(doc, d + 1)]], return_counts=True)
-                    found, cosines = index.nearest(*index.vector(term, tf))
+                doc, h, tf = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                edge = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
+                for d, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                    votes, found, cosines = index.judge(h[a:b], tf[a:b])
                     if len(found):
-                        score[i + d] = index.score(index.vote(found, cosines))
+                        score[i + d] = index.score(votes)
                         evidence[i + d] = [{"doc_id": int(index.ids[f]), "toxic": int(index.toxic[f]), "cosine": float(c)} for f, c in zip(found[:3], cosines[:3], strict=True)]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns) if k != 1), pa.array(score), pa.array(evidence, kind)], names=[*(n for k, n in enumerate(batch.schema.names) if k != 1), "score", "evidence"])
@@ -240,8 +271,8 @@ def scored(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None)
 
     Examples are rows of `labels` that may be learned from, with their texts in
     `source` (`docs` unless given). score is a calibrated probability in 0..1;
-    texts without any term of the index, null and empty ones among them, get
-    the rate of such texts among the examples. evidence lists the three nearest
+    texts without any term of the examples, null and empty ones among them,
+    get the rate of all labels. evidence lists the three nearest
     examples. Repeated rows are scored each, a null doc_id stays null and is
     not held out. Without labels every score is 0; an empty table gives no rows.
     """
