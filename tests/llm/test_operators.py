@@ -294,6 +294,21 @@ def test_battery_tells_random_from_ordinary(spark):
     assert hits > 0.85 * len(random_) and false <= 0.1 * hits
 
 
+def test_battery_tests_values_after_names_and_in_mixed_runs(spark):
+    rng = random.Random(13)
+    every = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ("aws_secret_access_key={}", "GITHUB_PAT=ghp_{}", "https://h.example/a?sig={}==", "a_b/c-d/{}_e/f")
+    values = ["".join(rng.choice(every) for _ in range(40)) for _ in range(400)]
+    texts = [forms[k % 4].format(v) for k, v in enumerate(values)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(table(spark, texts)).collect()}
+    for form in range(4):
+        hits = 0
+        for k in range(form, 400, 4):
+            ends = [tuple(map(int, x.split(":")[1:])) for x in got[k].split(",") if x.startswith("random")]
+            hits += any(a <= texts[k].index(values[k]) and b >= texts[k].index(values[k]) + 40 for a, b in ends)
+        assert hits > 80
+
+
 # 2
 
 

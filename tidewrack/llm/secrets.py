@@ -27,7 +27,8 @@ ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]+"
 ACCESS_LEAST = 20
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: A run of one base 64 alphabet that does not go on in the other, or else a part of a mixed run; '=' only as padding.
+TOKEN = r"(?:[A-Za-z0-9_-]{20,}+(?![+/])|[A-Za-z0-9+/]{20,}+(?![_-])|[A-Za-z0-9]{20,}+)(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 KINDS = ("assign", "access", "hex", "random")
 
 RATE = 0.05
