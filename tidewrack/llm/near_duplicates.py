@@ -2,7 +2,7 @@
 
 Each document is posted under every (coordinate, value) pair of its MinHash
 signature. A similar pair shares at least MATCHES of the COORDINATES values
-(below that, a pair at the threshold is missed with a chance under 1 in 50,000),
+(below that, a pair at the threshold is missed with a chance about 1 in 23,000),
 so only the postings that are shared at all count, and of a document's m shared
 ones only its m - MATCHES + 1 rarest are merged; the longer lists are skipped
 and later only probed, through the signatures. Documents whose merged lists
