@@ -430,6 +430,15 @@ def test_language(spark):
     assert text.split() == ["said", "done"]
 
 
+def test_language_fits_every_label(spark):
+    tongue = lambda k: " ".join("".join(random.Random(100 * k + j).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for j in range(30))
+    codes = [f"{a}{b}" for a in "abcdefgh" for b in "abcdefghi"][:70]
+    rows = [(100 * k + j, tongue(k), c) for k, c in enumerate(codes) for j in range(1 if k == 69 else 2)]  # the last is the rarest of 70
+    pages = spark.createDataFrame([(1, None, f"<html lang='{codes[69]}'><p>{tongue(69)}</p>"), (2, None, f"<p>{tongue(0)}</p>")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["lang"] for r in language.identify(pages, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {1: codes[69], 2: codes[0]}
+
+
 # 9
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import Scratch, small_batches, text_of
 
-#: Labelled documents of each language that a fit uses at most, languages at most, and trigram cells.
-EXAMPLES, LANGUAGES, CELLS = 2000, 64, 1 << 14
+#: Labelled documents of each language that a fit uses at most, and trigram cells.
+EXAMPLES, CELLS = 2000, 1 << 14
 #: Trigrams of a page count as this many independent ones at most; weights of the levels of a host prior.
 INDEPENDENT, KAPPA = 40.0, 5.0
 
@@ -71,21 +71,19 @@ def fit(documents: DataFrame, examples: int = EXAMPLES) -> tuple[list[str], np.n
     """(languages, log likelihoods [cell, language]) from at most `examples` labelled documents of each."""
     scratch = Scratch(documents.sparkSession)
     rows = documents.where("lang is not null and doc_id is not null").select(F.col("lang").cast("string").alias("lang"), "doc_id")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
+    shares = scratch.save(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(examples)) / F.count("*")).alias("share")), "shares")
+    names = sorted(r["lang"] for r in shares.collect())  # a row a language
+    if not names:
         return [], np.zeros((CELLS, 0))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, examples / n)).otherwise(share)
     # a hash of the id below the language's share: a bounded sample without a sort
-    inside = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)
-    counted = documents.select(F.col("lang").cast("string").alias("lang"), text_of().alias("text"), "doc_id").where(inside).select("lang", "text").mapInArrow(_count, "lang string, cell long, n long")
+    inside = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    counted = documents.select(F.col("lang").cast("string").alias("lang"), text_of().alias("text"), "doc_id").join(F.broadcast(shares), "lang").where(inside).select("lang", "text").mapInArrow(_count, "lang string, cell long, n long")
     counted = scratch.save(counted.groupBy("lang", "cell").agg(F.sum("n").alias("n")), "cells")
-    names = sorted(sizes)
+    place = {x: k for k, x in enumerate(names)}
     out = np.full((CELLS, len(names)), 0.5)
-    for r in counted.toLocalIterator():  # CELLS * LANGUAGES rows at most
-        out[r["cell"], names.index(r["lang"])] += r["n"]
-    scratch.drop("cells")
+    for r in counted.toLocalIterator():  # CELLS rows a language at most
+        out[r["cell"], place[r["lang"]]] += r["n"]
+    scratch.drop("shares", "cells")
     return names, np.log(out / out.sum(0))
 
 
