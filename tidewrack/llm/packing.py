@@ -9,6 +9,7 @@ best-fit round. Only token counts and checksums travel, never texts or ids.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches, text_of
 
 CAPACITY, SLACK, FAN_IN = 2048, 4, 8
+#: Characters of white space in a row that are left to tokenizers.
+SPACES = 1000
+SPACE_RUN = re.compile(rf"\s{{{SPACES}}}")
 #: Underfull sequences that one task of a merge round takes at most, about.
 TASK_BINS = 50_000
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -37,8 +41,10 @@ class Encoder:
     """Token ids of a byte-level BPE file of the tokenizers library.
 
     The merges run in tiktoken, several times faster, whose ids are the same
-    for a vocabulary numbered by merge rank; texts that spell an added token
-    go through tokenizers itself, as does a file of any other kind.
+    for a vocabulary numbered by merge rank: merges and split pattern are the
+    same, and the tests compare both over every code point. Texts that spell an
+    added token and runs of white space too long for tiktoken's backtracking go
+    through tokenizers itself, as does a file of any other kind.
     """
 
     #: Fixed value: the split of byte-level vocabularies.
@@ -61,8 +67,15 @@ class Encoder:
             ranks = {bytes(letters[c] for c in token): n for token, n in vocab.items() if token not in self.added}
             self.fast = tiktoken.Encoding("byte_level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def _spacious(self, text: str) -> bool:
+        """Whether `text` has a run of SPACES characters of white space."""
+        if len(text) < SPACES:
+            return False
+        words = text.split()
+        return len(text) - sum(map(len, words)) - len(words) >= SPACES - 2 and SPACE_RUN.search(text) is not None
+
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(x in text for x in self.added):
+        if self.fast is None or any(x in text for x in self.added) or self._spacious(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

@@ -66,9 +66,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import parse, transcripts
+    from .chat import fit, parse, transcripts
 
-    return parse(transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    raw = transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return parse(raw, fit(raw))
 
 
 @query
@@ -100,9 +101,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from . import decontamination
+    from . import decontamination, near_duplicates
 
     ORACLE_SQL["op1_benchmark_decontamination"] = decontamination.ORACLE
+    ORACLE_SQL["op6_near_duplicates"] = near_duplicates.ORACLE
 
 
 _oracles()
