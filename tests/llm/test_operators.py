@@ -78,10 +78,11 @@ def test_words_and_shingles_match_bytes_split():
     assert [int(x) for x in np.diff(first)] == [max(n - 2, 1 if n else 0) for n in np.diff(words.first)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 1 << 20])
+def test_components(spark, local):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1200)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7), Scratch(spark), "c").collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7), Scratch(spark), "c", local).collect()}
     up = {x: x for e in edges for x in e}
 
     def find(x):
@@ -126,6 +127,41 @@ def test_near_duplicates_match_brute_force(spark, chunk):
     assert got == brute_classes(texts, 4)
 
 
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates_of_few_words(spark, size):
+    few = ["", "hello", "hello world", "a b c", "a b c d", "a b c d e", "a b c d e f"]
+    for texts in ([few[2]], [few[3]], few + few[3:5]):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.classes(table(spark, texts), size, 80).collect()}
+        assert got == brute_classes(texts, size)
+
+
+def test_structured_words_do_not_collide(spark):
+    """The word 0110 1001 ... of each power of two and its complement, which polynomial hashes modulo 2**64 cannot tell apart."""
+    sign = lambda k: bin(k).count("1") % 2
+    pairs = [("a", "b"), ("c", "d"), ("e", "f"), ("g", "h"), ("i", "j"), ("k", "l")]
+    for n in (1024, 4096):
+        texts = [" ".join("".join(p[sign(k) ^ flip] for k in range(n)) for p in pairs) for flip in (0, 1)]
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.classes(table(spark, texts), 4).collect()}
+        assert got == {0: (3, 0), 1: (3, 1)}
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, 200_000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 190_000, 50_000))
+    ends = starts + rng.integers(1, 700, 50_000)
+    hashes = kernel.word_hashes(data, starts, ends).tolist()
+    words = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    assert len(set(zip(words, hashes, strict=True))) == len(set(words)) == len(set(hashes))
+
+
+def test_near_duplicates_match_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = sorted(c.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({queries.ORACLE_SQL['op6_near_duplicates']})").fetchall())
+    assert sorted(map(tuple, queries.QUERIES["op6_near_duplicates"](spark, sf).select("doc_id", "n_shingles", "component_id", "kept").collect())) == want
+
+
 def test_near_duplicates_on_awkward_rows(docs, none):
     got = near_duplicates.classes(docs, 5).collect()
     assert len(got) == len(TEXTS) + 2
@@ -376,40 +412,60 @@ def test_nearest_is_exact():
 
 def test_chat_blocks_give_the_global_path():
     rng = random.Random(9)
-    lines = [(rng.choice([-1, -1, 0, 1, 2]), rng.random() < 0.3, rng.choice(["yes?", "no", "a long line " * 8])) for _ in range(90)]
-    e = np.array([chat.emission(*x) for x in lines])
-    score, back = chat.BEGIN + e[0], []
-    for x in e[1:]:
-        step = score[:, None] + chat.MOVE
-        back.append(step.argmax(0))
-        score = step.max(0) + x
-    path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    parts = [e[:30], e[30:31], e[31:]]
-    head = chat.BEGIN + e[0]
-    for x in e[1:30]:
-        head = (head[:, None] + chat.MOVE).max(0) + x
-    ends = chat.boundaries([head, chat.matrix(parts[1]), chat.matrix(parts[2])])
-    assert [s for p, (a, z) in zip(parts, ends, strict=True) for s in chat.decode(p, a, z)] == path[::-1]
-
-
-def test_chat_roles(spark):
+    m = chat.model()
+    e = m.shown[[rng.choice([0, 0, 0, rng.randrange(len(m.shown))]) for _ in range(90)]]
+    path = chat.decode(e, m.move)
+    parts = [e[:30], e[30:31], e[31:50], e[50:]]
+    made = [chat.matrix(x, m.move) for x in parts]
+    ends = chat.boundaries(made)
+    assert [s for p, (a, z) in zip(parts, ends, strict=True) for s in chat.decode(p, m.move, a, z)] == path
+    over = chat.boundaries([chat.product(made[:2]), chat.product(made[2:])])
+    assert [x for k, (a, z) in enumerate(over) for x in chat.boundaries(made[2 * k : 2 * k + 2], a, z)] == ends
+    score = m.move[chat.START, path[0]] + e[0, path[0]] + sum(m.move[a, b] + x[b] for a, b, x in zip(path[:-1], path[1:], e[1:], strict=True))
+    assert np.isclose(score, chat.product(made)[chat.START].max())
+
+
+def whole(rows, conv):
+    """The rendered lines of a conversation without headers, by turn."""
+    out: dict[int, list[str]] = {}
+    for r in sorted((r for r in rows if r["conv_id"] == conv), key=lambda r: (r["turn"], r["line"])):
+        out.setdefault(r["turn"], []).append(r["rendered"].split("\n", 1)[1] if r["starts"] else r["rendered"])
+    return {t: "\n".join(x) for t, x in out.items()}
+
+
+def test_chat_roles(spark, monkeypatch):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "user", "Why?\nTell me."), (1, 2, "assistant", "Because of this and that, in a long sentence that goes on."), (2, 0, "user", None), (2, 1, "assistant", ""), (None, 0, "user", "x"), (3, None, "user", "y")]
-    got = chat.parse(chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit(1)))).collect()
+    made = chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("block", F.lit(1)))
+    got = chat.parse(made, chat.fit(made)).collect()
     assert {r["conv_id"] for r in got} <= {1, 2}
-    raw = spark.createDataFrame([(7, 0, "User: hi\nthere"), (7, 1, "### Assistant\nhello"), (7, 1, "### Assistant\nhello"), (7, 2, "\nand you?"), (7, 3, "<|im_start|>assistant\nfine")], "conv_id long, turn long, raw string")
-    out = sorted((r["turn"], r["line"], r["role"], r["starts"]) for r in chat.parse(raw).collect())
-    assert (0, 0, "user", True) in out and (0, 1, "user", False) in out and (2, 0, "user", True) in out and out[-1][2] == "assistant"
-    assert chat.parse(raw.limit(0)).count() == 0
-    many = spark.createDataFrame([(1, k, f"{'User' if k % 2 == 0 else 'Assistant'}: line {k}") for k in range(300)], "conv_id long, turn long, raw string")
+    raw = [(7, 0, "User: hi\n\nthere"), (7, 1, "### Assistant\nhello"), (7, 1, "### Assistant\nhello"), (7, 2, "\nand you?"), (7, 3, "<|im_start|>assistant\nfine"), (8, 0, "User: tell me\nModel: T-34\nContext: none\nA: first\nmore"), (9, 0, " \n"), (9, 1, None)]
+    data = spark.createDataFrame(raw, "conv_id long, turn long, raw string")
+    got = chat.parse(data).collect()
+    out = sorted((r["turn"], r["line"], r["role"], r["starts"]) for r in got if r["conv_id"] == 7)
+    assert (0, 0, "user", True) in out and (0, 1, "user", False) in out and (0, 2, "user", False) in out and (2, 1, "user", True) in out and out[-1][2] == "assistant"
+    assert whole(got, 7) == {0: "hi\n\nthere", 1: "\nhello", 2: "\nand you?", 3: "fine"} or whole(got, 7)[3] in ("\nfine", "fine")
+    assert whole(got, 8) == {0: "tell me\nModel: T-34\nContext: none\nA: first\nmore"} and sum(r["starts"] for r in got if r["conv_id"] == 8) == 1
+    assert whole(got, 9) == {0: " \n", 1: ""} and all(r["role"] is None for r in got if r["conv_id"] == 9)
+    assert chat.parse(data.limit(0)).count() == 0 and np.allclose(chat.fit(made.limit(0)).move, chat.model().move)
+    monkeypatch.setattr(chat, "FAN", 2)
+    many = spark.createDataFrame([(1, k, f"{'User' if k % 2 == 0 else 'Assistant'}: line {k}") for k in range(400)], "conv_id long, turn long, raw string")
     assert all(r["role"] == ("user" if r["turn"] % 2 == 0 else "assistant") for r in chat.parse(many).collect())
 
 
-def test_chat_held_accuracy(spark):
-    said = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
-    got = chat.parse(chat.transcripts(said)).join(said.select("conv_id", "turn", F.col("role").alias("true")), ["conv_id", "turn"])
-    assert got.select(F.avg((F.col("role") == F.col("true")).cast("double"))).first()[0] > 0.95
+def test_chat_held_accuracy_and_whole_texts(spark):
+    said = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    raw = chat.transcripts(said).cache()
+    lines = chat.parse(raw, chat.fit(raw)).join(said.select("conv_id", "turn", F.col("role").alias("true")), ["conv_id", "turn"]).collect()
+    held = [r for r in lines if zlib.crc32(str(r["conv_id"]).encode()) % 5 == 0]
+    assert len(held) > 50 and np.mean([r["role"] == r["true"] for r in held]) > 0.95
+    by: dict[tuple, list] = {}
+    for r in lines:
+        by.setdefault((r["conv_id"], r["turn"]), []).append(r)
+    for r in raw.collect():
+        rows = sorted(by[r["conv_id"], r["turn"]], key=lambda x: x["line"])
+        for line, x in zip(r["raw"].split("\n"), rows, strict=True):
+            shown = x["rendered"].split("\n", 1)[1] if x["starts"] else x["rendered"]
+            assert shown == line or (x["starts"] and shown == line[chat.marker(line)[1] :])
 
 
 # 8
@@ -469,6 +525,24 @@ def test_packing_round_trip(spark, docs, none):
     assert packing.pack(docs, path).select("doc_id").count() >= len(TEXTS) + 2 and packing.pack(none, path).count() == 0
 
 
+def test_ids_are_those_of_tokenizers():
+    """Every code point beside letters, digits, spaces, marks and line ends; long runs; random texts."""
+    code = packing.Encoder(queries.tokenizer_path())
+    every = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    texts = ["".join(f"a{c}b1{c}2 {c}{c} .{c},\n{c} {c}'s" for c in every[k : k + 512]) for k in range(0, len(every), 512)]
+    rng = random.Random(14)
+    texts += ["".join(rng.choice(["a", "Z", "é", "日", "7", " ", "  ", "\n", "\r\n", "\t", "'ll", "...", "\u00a0", "\u2003", "\x1c"]) for _ in range(60)) for _ in range(2000)]
+    texts += [" " * 200_000 + "a", "\n" * 5000, "\r\n \t" * 2000 + "end", " \u3000" * 3000 + "x" * 30_000, "x" * 100_000, "1" * 50_000]
+    for a, b in zip(texts, code.exact.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert code.ids(a) == b.ids
+
+
+def test_packing_of_long_white_space(spark):
+    texts = [" " * 1_000_000 + "a", "a", "word " * 300_000, "w" * 2_000_000]
+    got = packing.pack(table(spark, texts), queries.tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] > len(texts[r["doc_id"]]) // 10 for r in got} == {k: True for k in range(4)}
+
+
 def test_best_fit_places_every_item():
     sizes = np.random.default_rng(1).integers(1, 300, 500)
     bins = packing.best_fit(sizes, 512)

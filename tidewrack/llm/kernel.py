@@ -6,6 +6,7 @@ bytes and the offsets at which documents begin. No function loops over words.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,12 +54,9 @@ class Rolling:
 
     _tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, base: int = R1, lower: bool = False):
+    def __init__(self, base: int = R1):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        table = constants(256, base & 0xFFFF)
-        if lower:
-            table[65:91] = table[97:123]
-        self.table = table
+        self.table = constants(256, base & 0xFFFF)
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         have = Rolling._tables.get(self.base)
@@ -114,6 +112,34 @@ SPACES = byte_class(b" \t\n\v\f\r")
 PUNCTUATION = ~byte_class(bytes(x for x in range(256) if x >= 128 or chr(x).isalnum()))
 
 
+#: ASCII case folding of bytes; masks of the first 0..8 bytes of a little-endian word; bytes of a word beyond which a digest hashes it.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
+LONG_WORD = 512
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each data[starts[i]:ends[i]].
+
+    Eight bytes at a time are mixed into a state that begins with the length, so
+    no two words collide by structure; long words take a BLAKE2 digest.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    wide = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = mix(size.astype(U) * U(R1) + U(R2))
+    live, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        left = size[live] - at
+        out[live] = mix((out[live] ^ (wide[starts[live] + at] & HEAD[np.minimum(left, 8)])) + U(R1))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """Word hashes of a block of documents.
 
@@ -121,8 +147,6 @@ class Words:
     its words are first[i]:first[i+1]; starts, ends: byte places in the block.
     """
 
-    rolling = Rolling(R1, lower=True)
-
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES):
         n = len(data)
         inside = ~separators[data]
@@ -142,15 +166,7 @@ class Words:
         ends = np.flatnonzero(inside & after) + 1
         self.starts, self.ends = starts, ends
         self.first = np.searchsorted(starts, offsets)
-        self.hashes = np.empty(len(starts), dtype=U)
-        k = 0
-        while k < len(starts):
-            a = int(starts[k])
-            to = max(k + 1, int(np.searchsorted(ends, a + PIECE, side="right")))
-            sums, down = self.rolling.prefix(data[a : ends[to - 1]])
-            s, e = starts[k:to] - a, ends[k:to] - a
-            self.hashes[k:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
-            k = to
+        self.hashes = word_hashes(LOWER[data], starts, ends)
 
 
 def shingles(words: Words, size: int, whole_if_short: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +184,7 @@ def shingles(words: Words, size: int, whole_if_short: bool = True) -> tuple[np.n
     end = first[1:][doc]
     factors = constants(size, 77)
     total = np.zeros(n, dtype=U)
-    for j in range(size):
+    for j in range(min(size, n)):
         here = h[j:] * factors[j]
         if j:
             here[place[: n - j] + j >= end[: n - j]] = 0

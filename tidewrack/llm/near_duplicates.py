@@ -9,7 +9,9 @@ and later only probed, through the signatures. Documents whose merged lists
 meet form a family: no similar pair crosses families. Within a family,
 signatures are compared, pairs with enough matches are confirmed on the full
 shingle sets, and only links that join two classes are kept, so that groups of
-copies never unfold into all their pairs.
+copies never unfold into all their pairs. Sets hold 64-bit hashes of shingles
+that mix every byte of their words; two different shingles of a corpus agree
+with a chance of 2**-64.
 """
 
 from __future__ import annotations
@@ -240,3 +242,17 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     if twice.limit(1).count():
         docs = only(docs, twice, "left_anti").unionByName(only(docs, twice).dropDuplicates(["doc_id"]))
     return only(docs, gone, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: The classes of 4-word shingles at 80 percent, by all pairs that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS x FROM s),
+c AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS c FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT p, q FROM c JOIN n a ON a.doc_id = p JOIN n b ON b.doc_id = q WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, link.q FROM reach JOIN link ON reach.r = link.p),
+least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN least USING (doc_id)
+"""
