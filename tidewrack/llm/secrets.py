@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ TOKEN = r"(?:[A-Za-z0-9_-]{20,}+(?![+/])|[A-Za-z0-9+/]{20,}+(?![_-])|[A-Za-z0-9]
 KINDS = ("assign", "access", "hex", "random")
 
 RATE = 0.05
+#: Strings above the last cut that an estimate needs; the cut where not even all length classes together have as many.
+LEAST, FALLBACK = 50, 0.2
 LENGTHS = (20, 24, 32, 48, 64, 128)
 CUTS = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5)
 
@@ -152,16 +155,25 @@ def battery(tokens: str) -> str:
 
 
 def cuts(tested: DataFrame, rate: float) -> dict[int, float]:
-    """Lowest admitted p-value by length class, from the counts over all strings (a row a class: bounded)."""
+    """Lowest admitted p-value by length class, from the counts over all strings (a row a class: bounded).
+
+    A class with fewer than LEAST strings above the last cut takes the counts
+    of all classes; if these are too few as well, the cut is FALLBACK and no
+    rate is claimed.
+    """
     p = F.col("x.p")
     counts = tested.select(F.explode_outer("tested").alias("x")).where("x.p is not null").groupBy(F.col("x.c").alias("c")).agg(*(F.count(F.when(p > t, 1)).alias(f"n{k}") for k, t in enumerate(CUTS)))
-    out = {}
-    for row in counts.collect():
-        random = row[f"n{len(CUTS) - 1}"] / (1 - CUTS[-1])
-        fine = [t for k, t in enumerate(CUTS) if row[f"n{k}"] and 1 - random * (1 - t) / row[f"n{k}"] <= rate]
-        if fine:
-            out[row["c"]] = min(fine)
-    return out
+    rows = {r["c"]: np.array(r[1:], dtype=float) for r in counts.collect()}
+    return {c: x for c, n in rows.items() if (x := _cut(n, sum(rows.values()), rate)) is not None}
+
+
+def _cut(own: np.ndarray, every: np.ndarray, rate: float) -> float | None:
+    """Lowest cut that keeps the estimated share of ordinary strings within `rate`; None if no cut does."""
+    n = own if own[-1] >= LEAST else every
+    if n[-1] < LEAST:
+        return FALLBACK
+    random = n[-1] / (1 - CUTS[-1])
+    return min((t for t, x in zip(CUTS, n, strict=True) if 1 - random * (1 - t) / x <= rate), default=None)
 
 
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
