@@ -5,7 +5,8 @@ character trigram models, the likelihoods of the declared markup language and
 of the address suffix, and a prior of its host. Host priors are counts of text
 decisions, smoothed towards the registered domain and that towards all pages;
 the likelihoods of declarations and suffixes are counted the same way. All
-counts are grouped aggregates over all pages.
+counts are grouped aggregates over all pages; what a page adds to them itself
+is taken out again before it is judged, so its text counts once.
 """
 
 from __future__ import annotations
@@ -103,10 +104,15 @@ def _evidence(names: list[str], model: np.ndarray) -> Callable:
     return run
 
 
+#: Fixed second-level labels under which countries register domains.
+SECOND = r"\.(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}$"
+
+
 def address(url: Column) -> tuple[Column, Column, Column]:
     """(host, registered domain, suffix) of a URL, lower-cased; empty if it has none."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    return host, F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    domain = F.when(host.rlike(SECOND), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return host, domain, F.substring_index(host, ".", -1)
 
 
 def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -135,25 +141,27 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
         return seen.groupBy(*by).agg(F.array(*each).alias("n"))
 
     total = [float(x) for x in counts().first()["n"]]
-    base = [(x + 1) / (sum(total) + L) for x in total]
     sums = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    shrunk = lambda n, prior: F.zip_with(n, prior, lambda a, p: (a + KAPPA * p) / (sums(n) + KAPPA))
-    fixed = F.array(*(F.lit(x) for x in base))
-    # text decisions of a host, smoothed by its domain's, smoothed by all pages'; a page's own decision is a small part
-    domains = counts("domain").select("domain", shrunk(F.col("n"), fixed).alias("above"))
-    hosts = scratch.save(counts("host", "domain").where("host != ''").join(domains, "domain").select("host", shrunk(F.col("n"), F.col("above")).alias("prior")), "hosts")
-
-    def likelihoods(by: str, of: str) -> DataFrame:
-        """P(value | language) up to a factor: (count + its expectation) / (pages of the language + 1)."""
-        size = F.array(*(F.lit(x + 1.0) for x in total))
-        return counts(by).where(F.col(by) != "").select(by, F.zip_with(F.zip_with(F.col("n"), fixed, lambda a, p: a + p), size, lambda a, t: a / t).alias(of))
-
+    domains = counts("domain").select("domain", F.col("n").alias("in_domain"))
+    hosts = counts("host", "domain").where("host != ''").select("host", "domain", F.col("n").alias("in_host")).join(domains, "domain").drop("domain")
+    hosts = scratch.save(hosts.withColumns({"hosts": sums(F.col("in_host")), "domains": sums(F.col("in_domain"))}), "hosts")
     # values of a markup attribute or suffix are counted before they are broadcast
-    marks, ends = (scratch.save(likelihoods(x, f"of_{x}"), f"of-{x}") for x in ("declared", "suffix"))
+    marks, ends = (scratch.save(counts(x).where(F.col(x) != "").select(x, F.col("n").alias(f"of_{x}")), f"of-{x}") for x in ("declared", "suffix"))
     small = lambda df: F.broadcast(df) if df.count() <= 100_000 else df
-    joined = seen.join(hosts, "host", "left").join(small(marks), "declared", "left").join(small(ends), "suffix", "left")
-    flat = F.array(*(F.lit(1.0) for _ in names))
-    log = joined.withColumn("log", F.zip_with("ll", F.zip_with(F.coalesce("prior", fixed), F.zip_with(F.coalesce("of_declared", flat), F.coalesce("of_suffix", flat), lambda a, b: a * b), lambda a, b: a * b), lambda a, b: a + F.log(b)))
+    joined = seen.join(small(hosts), "host", "left").join(small(marks), "declared", "left").join(small(ends), "suffix", "left")
+    joined = joined.withColumn("own", F.coalesce(F.array_position(F.array(*(F.lit(x) for x in names)), F.col("text_lang")) - 1, F.lit(-1)))
+    every = F.array(*(F.lit(x) for x in total))
+    one = F.when(F.col("own") >= 0, 1.0).otherwise(0.0)  # the page's own decision, taken out of all counts
+
+    def step(i: Column) -> Column:
+        less = lambda a: F.get(a, i) - F.when(F.col("own") == i, 1.0).otherwise(0.0)
+        base = (less(every) + 1) / (sum(total) - one + L)
+        above = (less(F.col("in_domain")) + KAPPA * base) / (F.col("domains") - one + KAPPA)
+        prior = F.coalesce((less(F.col("in_host")) + KAPPA * above) / (F.col("hosts") - one + KAPPA), base)
+        said = lambda a: F.coalesce((less(F.col(a)) + base) / (less(every) + 1), F.lit(1.0))
+        return F.get(F.col("ll"), i) + F.log(prior) + F.log(said("of_declared")) + F.log(said("of_suffix"))
+
+    log = joined.withColumn("log", F.transform(F.sequence(F.lit(0), F.lit(L - 1)), step))
     log = log.withColumn("p", F.transform("log", lambda x: F.exp(x - F.array_max("log"))))
     best = F.array_position(F.col("log"), F.array_max("log")).cast("int")
     return log.select("page_id", F.get(F.array(*(F.lit(x) for x in names)), best - 1).alias("lang"), (F.array_max("p") / sums(F.col("p"))).alias("posterior"), "text_lang", "declared")
