@@ -2,7 +2,8 @@
 
 A bounded sample of labelled documents is indexed with all its terms; inverse
 document frequencies are counted over all documents. A query adds up the
-postings of all its terms, so its neighbours are exact. They vote with weights
+postings of all its terms in the blocks of examples whose bounds can reach its
+nearest, so its neighbours are exact. They vote with weights
 that fall with distance. A second vote is that of the nearest examples by the
 telling terms alone: those whose document frequency differs between the
 classes beyond chance (likelihood ratio, corrected for the number of terms
@@ -32,6 +33,8 @@ EXAMPLES = 4096
 LIFT = 3.0
 #: SURE: terms of no class that may be taken for telling, of all terms tried, in expectation.
 NEIGHBOURS, SURE = 16, 1.0
+#: Examples of a block.
+BLOCK = 64
 #: Added to a distance before it is inverted, and the votes of the prior.
 FLOOR, PRIOR_VOTES = 0.05, 0.5
 
@@ -77,9 +80,16 @@ def _spread(terms: np.ndarray) -> Callable:
     return run
 
 
+def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(members of all ranges start[i]:end[i], i of each)."""
+    size = end - start
+    owner = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(owner)) + np.repeat(start - (np.cumsum(size) - size), size), owner
+
+
 @dataclass
 class Index:
-    """Inverted index of the examples' unit vectors, and the calibrated vote."""
+    """Block-max inverted index of the examples' unit vectors, and the calibrated vote."""
 
     terms: np.ndarray  # sorted term hashes
     idf: np.ndarray
@@ -92,17 +102,36 @@ class Index:
     shift: float = 0.0
     #: The same examples by their telling terms alone; examples without any are left to the other vote.
     telling: Index | None = None
-    #: Postings by term: those of term t are first[t]:first[t + 1] of example and value.
-    first: np.ndarray | None = None
-    example: np.ndarray | None = None
+    #: Examples by block: those of few terms first, so that the weights of a block are alike and its maxima tight.
+    place: np.ndarray | None = None  # position of each example in that order
+    at: np.ndarray | None = None  # example at each position
+    #: Postings by term, then position: entry x of block[x], largest weight most[x], has the postings entry[x]:entry[x + 1].
+    first: np.ndarray | None = None  # entries of term t: first[t]:first[t + 1]
+    block: np.ndarray | None = None
+    most: np.ndarray | None = None
+    entry: np.ndarray | None = None
+    position: np.ndarray | None = None
     value: np.ndarray | None = None
 
     def build(self) -> Index:
+        sizes = np.array([len(t) for t, _ in self.vectors], dtype=np.int64)
+        self.at = np.argsort(sizes, kind="stable")
+        self.place = np.empty(len(sizes), np.int64)
+        self.place[self.at] = np.arange(len(sizes))
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.vectors)])
-        order = np.argsort(term, kind="stable")
-        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
-        self.example = np.repeat(np.arange(len(self.vectors)), [len(t) for t, _ in self.vectors])[order].astype(np.int32)
+        position = np.repeat(self.place, sizes)
+        order = np.lexsort((position, term))
+        term, position = term[order], position[order]
+        self.position = position.astype(np.int32)
         self.value = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])[order]
+        block = position // BLOCK
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        starts = np.flatnonzero(new)
+        self.entry = np.append(starts, len(term))
+        self.block = block[starts].astype(np.int32)
+        self.most = np.maximum.reduceat(self.value, starts) if len(starts) else np.zeros(0)
+        self.first = np.searchsorted(term[starts], np.arange(len(self.terms) + 1))
         return self
 
     def vector(self, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,17 +139,36 @@ class Index:
         return term, w / np.sqrt((w * w).sum())
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the NEIGHBOURS nearest with a common term; ties go to the earlier example."""
-        start, size = self.first[term], self.first[term + 1] - self.first[term]
-        at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
-        score = np.round(np.bincount(self.example[at], self.value[at] * np.repeat(weight, size), len(self.ids)), 12)
-        if without >= 0:
-            score[without] = 0
+        """(examples, cosines) of the NEIGHBOURS nearest with a common term; ties go to the earlier example.
+
+        Blocks are scored from the highest bound down (the sum of the terms'
+        largest weights in the block) until no bound reaches the last of the
+        nearest: the rest cannot hold a nearer one.
+        """
+        entries, owner = spread(self.first[term], self.first[term + 1])
+        bound = np.bincount(self.block[entries], self.most[entries] * weight[owner], len(self.at) // BLOCK + 1)
+        order = np.argsort(-bound, kind="stable")
+        score, done, step = np.zeros(len(self.at)), 0, 4
+        chosen = np.zeros(len(bound), dtype=bool)
+        least = 0.0
+        while done < len(order) and bound[order[done]] > max(least - 1e-9, 0):
+            now = order[done : done + step]
+            chosen[:] = False
+            chosen[now] = True
+            take = chosen[self.block[entries]]
+            post, which = spread(self.entry[entries[take]], self.entry[entries[take] + 1])
+            score += np.bincount(self.position[post], self.value[post] * weight[owner[take]][which], len(score))
+            done, step = done + step, 2 * step
+            if without >= 0:
+                score[self.place[without]] = 0
+            least = np.partition(score, -NEIGHBOURS)[-NEIGHBOURS] if len(score) > NEIGHBOURS else 0.0
         found = np.flatnonzero(score > 0)
+        near, found = np.round(score[found], 12), self.at[found]
         if len(found) > NEIGHBOURS:
-            found = found[score[found] >= np.partition(score[found], -NEIGHBOURS)[-NEIGHBOURS]]
-        found = found[np.lexsort((found, -score[found]))[:NEIGHBOURS]]
-        return found, score[found]
+            keep = near >= np.partition(near, -NEIGHBOURS)[-NEIGHBOURS]
+            near, found = near[keep], found[keep]
+        best = np.lexsort((found, -near))[:NEIGHBOURS]
+        return found[best], near[best]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Logit of the distance-weighted share of toxic neighbours."""
