@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Bytes handled at once by the prefix-sum hashes (their arrays take 8 bytes a byte).
+#: Bytes of text handled at once (their arrays of numbers take 8 bytes a byte).
 PIECE = 1 << 20
-#: Odd multipliers of the rolling polynomials and of the mixer.
+#: Odd multipliers of the hashes and of the mixer.
 R1 = 0x9E3779B97F4A7C15
 R2 = 0xD1342543DE82EF95
 MIX1, MIX2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -38,43 +38,6 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(R1) + U(seed * R2 & MASK)) | U(1)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.ones(n, dtype=U)
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * U(pow(base, done, 1 << 64))
-        done += step
-    return out
-
-
-class Rolling:
-    """Hashes of byte substrings from one prefix sum; equal bytes hash equal wherever they stand."""
-
-    _tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, base: int = R1):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.table = constants(256, base & 0xFFFF)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = Rolling._tables.get(self.base)
-        if have is None or len(have[0]) < n:
-            size = max(n, PIECE + 1)
-            have = (powers(self.base, size), powers(self.inverse, size))
-            if size <= 2 * PIECE:
-                Rolling._tables[self.base] = have
-        return have[0][:n], have[1][:n]
-
-    def prefix(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sums, inverse powers): the hash of data[a:b] is (sums[b] - sums[a]) * inverse[a]."""
-        up, down = self._powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=U)
-        np.cumsum(self.table[data] * up[:-1], out=sums[1:])
-        return sums, down
-
-
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,21 +2,26 @@
 
 A suffix array sorted by bucket-pointer refinement starts with buckets of equal
 q-grams and refines a bucket by the bucket identifiers found at later offsets,
-reusing identifiers as they are updated. Here an identifier is a fingerprint of
-the bytes a bucket stands for, so that tasks agree on it without sorting
-together, and only suffixes at sampled places are handled: of the q-grams in
-each LENGTH-byte window the least by hash is the window's pointer, the same in
-every copy of the window. The windows that share a pointer form a family.
-
-1. Initial buckets: families by the q-gram at their pointer. Buckets of one
+reusing identifiers as they are updated. Here all suffixes begin in the buckets
+of their 8-grams; a bucket of h bytes is refined by the identifier at offset h,
+so that identifiers stand for 8, 16, 32, 64, 128 bytes and, by identifiers at
+offsets that overlap, for any other length. An identifier is a 64-bit mix of the
+two it was refined from instead of a rank, so tasks agree on it without sorting
+together. Only sampled suffixes cross the network: of the GRAM-byte identifiers
+in each LENGTH-byte window the least is the window's pointer, the same in every
+copy of the window. The windows that share a pointer form a family.
+
+1. Initial buckets: families by the identifier at their pointer. Buckets of one
    family are done: none of its windows is repeated.
-2. First refinement: the identifier of all bytes the family spans. If two
-   families agree, all windows of both are repeated.
-3. Second refinement, in buckets where families differ: the identifiers of
-   their single windows, for one family of each refined bucket.
-
-Each level works on what the level before left unresolved. The repeated
-windows of a document are joined into maximal runs of removed bytes.
+2. First refinement: a digest of all bytes the family spans. If two families
+   agree, all windows of both are repeated.
+3. Further refinement, in buckets where families differ: the identifiers of
+   runs of windows, then of single ones, for one family of each refined bucket.
+
+Each level works on what the level before left unresolved. Strings are taken as
+equal when two independent 64-bit identifiers agree, in step 2 one of them a
+BLAKE2 digest of the bytes. The repeated windows of a document are joined into
+maximal runs of removed bytes.
 """
 
 from __future__ import annotations
@@ -33,11 +38,55 @@ from . import kernel as K
 from .common import Scratch, small_batches, text_of
 
 LENGTH, GRAM = 200, 48
+#: Bytes of the initial buckets.
+Q = 8
 #: Bits of a place in the keys whose least is a window's pointer; longer documents are cut into overlapping pieces.
 BITS = 24
+#: Rows of one or two numbers that are broadcast at most, 16 MB.
 BROADCAST_KEYS = 1_000_000
 
 
+def refined(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Identifiers of the buckets `a` refined by the identifiers `b`."""
+    x = a * K.U(K.R1) + (b ^ K.U(salt)) * K.U(K.R2)
+    x ^= x >> K.U(32)
+    x *= K.U(K.MIX1)
+    x ^= x >> K.U(29)
+    return x
+
+
+class Buckets:
+    """Bucket identifiers of all suffixes of `data`, for Q bytes and each doubling up to `most` bytes."""
+
+    def __init__(self, data: np.ndarray, most: int):
+        padded = np.zeros(len(data) + Q, np.uint8)
+        padded[: len(data)] = data
+        width = max(len(data) - Q + 1, 0)
+        self.of = {Q: K.mix(np.ndarray((width,), "<u8", buffer=padded, strides=(1,)) + K.U(K.R1))}
+        h = Q
+        while 2 * h <= most:
+            self.of[2 * h] = refined(self.of[h][: max(width - 2 * h + Q, 0)], self.of[h][h:])
+            h *= 2
+
+    def at(self, start: np.ndarray, size: np.ndarray, h: int, salt: int = 0) -> np.ndarray:
+        """Identifiers of the strings of `size` >= h bytes at `start`, refined from those of h bytes at offsets h, 2 h, ... and the last that fits."""
+        out, k = K.mix(self.of[h][start] ^ K.U(salt)), h
+        most = int(size.max()) if len(size) else 0
+        while k < most:
+            live = np.flatnonzero(size > k)
+            out[live] = refined(out[live], self.of[h][start[live] + np.minimum(k, size[live] - h)], salt)
+            k += h
+        return out
+
+
+def step_of(size: int) -> int:
+    """The largest doubling of Q within `size` bytes."""
+    h = Q
+    while 2 * h <= size:
+        h *= 2
+    return h
+
+
 def families(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(document, first window, last window, pointer, bucket, identifier) of each family of a block.
 
@@ -47,9 +96,10 @@ def families(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     n = len(data)
     if n < length:
         return none
-    sums, down = ROLLING.prefix(data)
+    h = step_of(gram)
+    ids = Buckets(data, h).of[h]
     places = n - gram + 1
-    hashes = K.mix((sums[gram:] - sums[:places]) * down[:places])
+    hashes = K.mix(refined(ids[:places], ids[gram - h : gram - h + places]) if gram > h else ids[:places])
     low = K.U((1 << BITS) - 1)
     key = (hashes & ~low) | np.arange(places, dtype=K.U)
     span, width = 1, length - gram + 1  # least of `span` places; doubled up to `width`
@@ -69,17 +119,15 @@ def families(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
     s, e, p, d = start[first], start[last], at[first], owner[first]
-    size = (e - s + length).astype(K.U)
-    whole = K.mix(K.mix((sums[e + length] - sums[s]) * down[s]) + size * K.U(K.R1) + (p - s).astype(K.U) * K.U(K.R2))
+    text, digest = memoryview(data.tobytes()), hashlib.blake2b
+    joined = b"".join([digest(text[x:y], digest_size=8).digest() for x, y in zip(s.tolist(), (e + length).tolist(), strict=True)])
+    whole = np.frombuffer(joined, "<u8") ^ K.mix((p - s).astype(K.U))
     return d, s - offsets[d], e - offsets[d], p - offsets[d], hashes[p], whole
 
 
-ROLLING = K.Rolling(K.R2)
-
-
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """(first document, bytes, offsets, windows before) of blocks that fit BITS; long documents overlap by length - 1 bytes."""
-    most = 1 << (BITS - 1)  # a block above it is one document
+    most = min(1 << (BITS - 1), 2 * K.PIECE)  # a block above it is one document
     for i, j in K.blocks(offsets, min(K.PIECE, most)):
         a, b = int(offsets[i]), int(offsets[j])
         if b - a <= most:
@@ -122,13 +170,11 @@ def _finer(length: int, step: int) -> Callable:
         turn = lead[family] - (np.arange(len(family)) - np.repeat(np.cumsum(count) - count, count))
         high = p[family] - turn * step
         a, b = np.maximum(high - step + 1, s[family]), np.minimum(high, e[family])
-        base = int(s.min())
-        sums, down = ROLLING.prefix(text[base : int(e.max()) + length])
-        size = (b - a).astype(K.U) * K.U(K.R1) + (p[family] - a).astype(K.U) * K.U(K.R2)
-        of = lambda x, y: (sums[y - base] - sums[x - base]) * down[x - base]
+        base, h = int(s.min()), step_of(length - step + 1)
+        ids = Buckets(text[base : int(e.max()) + length], h)
         # the bytes of every window that the run could have, so a run cut short by its family's end has the same bucket
-        core = K.mix(K.mix(of(high, high - step + 1 + length)) + (p[family] - high).astype(K.U))
-        whole = K.mix(K.mix(of(a, b + length)) + size)
+        core = K.mix(ids.at(high - base, np.full(len(a), length - step + 1), h) + (p[family] - high).astype(K.U))
+        whole = ids.at(a - base, b - a + length, h // 2 if h > Q else h, K.MIX2) ^ K.mix((b - a).astype(K.U) * K.U(K.R1) + (p[family] - a).astype(K.U) * K.U(K.R2))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(a), key)), pa.array(a), pa.array(b), pa.array(p[family]), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(n[family])], names=NAMES
         )
@@ -189,20 +235,25 @@ def _texts(source: DataFrame, lists: DataFrame) -> DataFrame:
     return source.join(lists, "key")
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def refine(rows: DataFrame, scratch: Scratch, level: int) -> tuple[DataFrame, DataFrame]:
     """One refinement of `rows` (ROWS): (spans of windows found repeated, classes that need a finer look).
 
     n tells how many families a row stands for; windows of rows with n > 1 are
     known to be repeated and only help others.
     """
-    again = rows.groupBy("bucket").agg(F.sum("n").alias("c")).where("c > 1").select("bucket")
-    live = scratch.save(rows.join(again, "bucket", "left_semi"), f"live-{level}")
+    again = scratch.save(rows.groupBy("bucket").agg(F.sum("n").alias("c")).where("c > 1").select("bucket"), f"again-{level}")
+    # beyond a broadcast, joins that are written at once, so that a hot bucket's rows can be split over tasks
+    live = scratch.save(rows.join(_small(again), "bucket", "left_semi"), f"live-{level}")
     scratch.drop(f"rows-{level}")
     kinds = live.groupBy("bucket", "whole").agg(F.sum("n").alias("total"), F.min(F.struct("key", "s", "e", "p")).alias("x"))
     kinds = scratch.save(kinds, f"kinds-{level}")
     twice = kinds.where("total > 1").select("bucket", "whole")
-    spans = scratch.save(live.where("n = 1").join(twice, ["bucket", "whole"], "left_semi").select("key", "s", "e"), f"spans-{level}")
-    scratch.drop(f"live-{level}")
+    spans = scratch.save(live.where("n = 1").join(_small(twice), ["bucket", "whole"], "left_semi").select("key", "s", "e"), f"spans-{level}")
+    scratch.drop(f"live-{level}", f"again-{level}")
     mixed = kinds.groupBy("bucket").agg(F.count("*").alias("m"), F.min("total").alias("least")).where("m > 1 and least = 1").select("bucket")
     open_ = kinds.join(mixed, "bucket", "left_semi").select("x.key", F.struct("x.s", "x.e", "x.p", F.col("total").alias("n")).alias("family"))
     return spans, open_
