@@ -187,7 +187,7 @@ def test_containment(spark, docs, none):
     far[5] = far[15] = "changed"  # 16 of 26
     texts = [f"{LONG} {items[0].upper()}, {LONG}", " ".join(near), " ".join(far), items[1].replace(" ", " ,\n"), "too short", None]
     got = {(r["doc_id"], r["item_id"]): r["common"] for r in decontamination.contained(table(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
-    assert got == {(0, 0): 8, (1, 1): 24, (3, 1): 26}
+    assert got == {(0, 0): 8, (1, 1): 24, (3, 1): 26, (4, 2): 1}
     bench = spark.createDataFrame([(1, TEXTS[5]), (1, TEXTS[5]), (None, "a row without id at all"), (2, None)], "item_id long, text string")
     assert sorted(r["doc_id"] for r in decontamination.contained(docs, bench).collect()) == [5, 6]
     cleaned = decontamination.clean(docs, bench)
@@ -195,6 +195,23 @@ def test_containment(spark, docs, none):
     assert decontamination.contained(none, bench).count() == 0 and decontamination.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_short_and_unspaced_items(spark):
+    import duckdb
+    import pyarrow as pa
+
+    rng = random.Random(15)
+    items = ["Is it so?", "what is the sum", "yes", "no way", "東京は日本の首都です", "何ですか", "one two three four five", "...", ""]
+    texts = [f"{prose(rng, 50)} is it so {prose(rng, 50)}", "What is, the SUM of", "yes", "oh yes", "no way", "no way out", "昨日、東京は日本の首都ですと聞いた", "東京", "これは何ですか", "a one two three four five b", "", None, "is it", *items]
+    got = sorted(tuple(r) for r in decontamination.contained(table(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect())
+    found = {(d, i) for d, i, *_ in got}
+    assert {(0, 0), (1, 1), (2, 2), (4, 3), (6, 4), (8, 5), (9, 6)} <= found and not found & {(3, 2), (5, 3), (7, 4), (12, 0)}
+    assert {(13 + k, k) for k in range(7)} <= found and not any(i > 6 for _, i in found)
+    c = duckdb.connect()
+    for name, key, values in (("documents", "doc_id", texts), ("benchmark", "item_id", items)):
+        c.register(name, pa.table({key: list(range(len(values))), "text": values}))
+    assert got == sorted(c.execute(decontamination.ORACLE).fetchall())
+
+
 # 3
 
 
@@ -222,6 +239,30 @@ def test_repeats_match_brute_force(spark, seed, length, gram, steps):
     assert got == brute_repeats(texts, length)
 
 
+def test_repeats_at_full_length_match_brute_force(spark):
+    """Windows of 200 bytes: copies, near copies, hot passages, a passage just too short, shifts, structured text."""
+    rng = random.Random(16)
+    passage = [prose(rng, 70, 9000) for _ in range(6)]
+    texts = [" ".join([prose(rng, rng.randint(0, 150), 9000), rng.choice(passage), prose(rng, rng.randint(0, 90), 9000)]) for _ in range(50)]
+    texts += [passage[0][:199], passage[0][:200], passage[1][3:280], texts[0], texts[1][:-1] + "!", texts[2][:300] + "#" + texts[2][301:]]
+    sign = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    texts += ["z" * 700, "yz" * 300, sign, sign.translate(str.maketrans("ab", "ba"))[:1024] + "q", "é" * 150, None, ""]
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.strip(table(spark, texts), 200).collect()}
+    assert got == brute_repeats(texts, 200)
+
+
+def test_bucket_identifiers_agree_with_bytes():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    for most, h in ((64, 8), (64, 32), (64, 64)):
+        ids = repeats.Buckets(data, most)
+        start = rng.integers(0, 2600, 4000)
+        size = rng.integers(h, 300, 4000)
+        got = ids.at(start, size, h).tolist()
+        strings = [data[a : a + n].tobytes() for a, n in zip(start, size, strict=True)]
+        assert len(set(zip(strings, got, strict=True))) == len(set(strings)) == len(set(got))
+
+
 def test_repeats_of_long_documents_are_cut(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BITS", 12)
     monkeypatch.setattr(kernel, "PIECE", 1024)
@@ -393,6 +434,7 @@ def test_nearest_is_exact():
         t = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         index.vectors.append(index.vector(t, rng.integers(1, 4, len(t))))
     index.build()
+    assert toxicity.BLOCK * 4 < 500
     dense = np.zeros((500, 40))
     for k, (t, w) in enumerate(index.vectors):
         dense[k, t] = w
@@ -404,7 +446,7 @@ def test_nearest_is_exact():
         q[t] = w
         all_ = np.round(dense @ q, 12)
         want = np.lexsort((np.arange(500), -all_))[: toxicity.NEIGHBOURS]
-        assert np.allclose(cosines, all_[want][: len(cosines)]) and set(found) <= set(np.flatnonzero(all_ >= all_[want[-1]] - 1e-9))
+        assert len(found) == min(toxicity.NEIGHBOURS, (all_ > 0).sum()) and np.allclose(cosines, all_[want][: len(cosines)]) and set(found) <= set(np.flatnonzero(all_ >= all_[want[-1]] - 1e-9))
 
 
 # 7
@@ -486,6 +528,46 @@ def test_language(spark):
     assert text.split() == ["said", "done"]
 
 
+def test_language_posterior_matches_brute_force(spark):
+    """Every page by itself: its likelihoods and the counts of all other pages."""
+    documents = spark.createDataFrame([(k, t, la) for k, (t, la) in enumerate([("the cat and the dog went out", "en"), ("der hund und die katze gehen aus", "de"), ("le chat et le chien sortent", "fr")] * 4)], "doc_id long, text string, lang string")
+    bits = ["the cat and the dog", "der hund und die katze", "le chat et le chien", "", "12 34"]
+    rng = random.Random(17)
+    pages = []
+    for k in range(60):
+        host = rng.choice(["a.x.co.uk", "b.x.co.uk", "www.y.de", "m.y.de", "z.fr", ""])
+        lang = rng.choice(["", "en", "DE", "fr"])
+        pages.append((k, f"https://{host}/p" if host else None, f"<html lang='{lang}'><p>{rng.choice(bits)}</p>"))
+    pages.append((60, "http://alone.example.com/", f"<p>{bits[0]}</p>"))
+    names, model = language.fit(documents)
+    L, K_ = len(names), language.KAPPA
+    seen = []
+    for k, url, html in pages:
+        host = (url or "").partition("//")[2].partition("/")[0]
+        domain = ".".join(host.split(".")[-3 if host.endswith("co.uk") else -2 :])
+        at = language.cells(np.frombuffer(language.visible(html).encode(), np.uint8))
+        ll = model[at].sum(0) * min(1.0, language.INDEPENDENT / max(len(at), 1)) if len(at) else np.zeros(L)
+        said = re.search(r"lang='(\w+)'", html)
+        seen.append((host, domain, host.split(".")[-1], said[1].lower() if said else "", ll, int(ll.argmax()) if len(at) else -1))
+    want = {}
+    for k, (host, domain, suffix, said, ll, _) in enumerate(seen):
+        count = lambda ok, k=k: np.bincount([x[5] for j, x in enumerate(seen) if j != k and x[5] >= 0 and ok(x)], minlength=L)
+        total = count(lambda x: True)
+        prior = base = (total + 1) / (total.sum() + L)
+        if host:
+            d, h = count(lambda x, v=domain: x[1] == v), count(lambda x, v=host: x[0] == v)
+            above = (d + K_ * base) / (d.sum() + K_)
+            prior = (h + K_ * above) / (h.sum() + K_)
+        log = ll + np.log(prior)
+        for column, value in ((3, said), (2, suffix)):
+            if value:
+                log = log + np.log((count(lambda x, c=column, v=value: x[c] == v) + base) / (total + 1))
+        p = np.exp(log - log.max())
+        want[k] = (names[int(p.argmax())], p.max() / p.sum())
+    got = {r["page_id"]: (r["lang"], r["posterior"]) for r in language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), documents).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(np.isclose(got[k][1], want[k][1]) for k in want)
+
+
 def test_language_fits_every_label(spark):
     tongue = lambda k: " ".join("".join(random.Random(100 * k + j).choices("abcdefghijklmnopqrstuvwxyz", k=6)) for j in range(30))
     codes = [f"{a}{b}" for a in "abcdefgh" for b in "abcdefghi"][:70]
@@ -564,6 +646,24 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(docs).count() == len(TEXTS) + 2 and sharding.shard(none).count() == 0
 
 
+def test_placing_tasks_are_matched(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TASK_ROWS", 400)
+    rng = random.Random(18)
+    texts = [prose(rng, rng.randint(1, 50)) for _ in range(4000)] + ["a hot text " * 3] * 2000
+    rows = sharding.shard(table(spark, texts)).toPandas()
+    assert len(rows) == len(texts) and rows.doc_id.nunique() == len(texts) and all(sorted(g) == list(range(len(g))) for _, g in rows.groupby("shard")["slot"])
+    words = rows.assign(words=[len(texts[i].split()) for i in rows.doc_id]).groupby("shard").agg(size=("size", "sum"), words=("words", "sum"), rows=("size", "count"))
+    assert ((words / words.mean() - 1).abs().max() < 0.02).all()
+
+
+def test_cuts_need_enough_strings():
+    assert secrets._cut(np.zeros(len(secrets.CUTS)), np.full(len(secrets.CUTS), 10.0), 0.05) == secrets.FALLBACK
+    true = np.array([1000 * (1 - t) for t in secrets.CUTS])  # all strings random: the lowest cut holds
+    assert secrets._cut(true * 0, true, 0.05) == secrets._cut(true, true, 0.05) == secrets.CUTS[0]
+    ordinary = np.array([1e6 * (t < 0.3) for t in secrets.CUTS])  # ordinary ones up to 0.3
+    assert secrets._cut(true + ordinary, true, 0.05) == 0.3
+
+
 def test_equal_texts_share_a_shard(spark):
     texts = [f"text {k % 400} " + "w " * (k % 400 % 17) for k in range(4000)]
     rows = sharding.shard(table(spark, texts)).toPandas()
