@@ -427,7 +427,10 @@ def test_toxicity_indexes_every_term(spark):
     assert got[400]["score"] > got[401]["score"] and all(r["evidence"] for r in got.values())
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize(("common", "seeds"), [(192, 8), (30, 1), (0, 1), (10_000, 1)])
+def test_nearest_is_exact(monkeypatch, common, seeds):
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    monkeypatch.setattr(toxicity, "SEEDS", seeds)
     rng = np.random.default_rng(3)
     index = toxicity.Index(np.arange(40), np.ones(40), np.arange(500), rng.integers(0, 2, 500).astype(float), np.ones(500), [], 0.1)
     for _ in range(500):
@@ -438,13 +441,17 @@ def test_nearest_is_exact():
     dense = np.zeros((500, 40))
     for k, (t, w) in enumerate(index.vectors):
         dense[k, t] = w
+    texts = []
     for _ in range(50):
         t = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
-        t, w = index.vector(t, rng.integers(1, 4, len(t)))
-        found, cosines = index.nearest(t, w)
+        texts.append(index.vector(t, rng.integers(1, 4, len(t))))
+    without = [int(x) for x in rng.integers(-1, 500, 50)]
+    for (t, w), out, (found, cosines) in zip(texts, without, index.nearest(texts, without), strict=True):
         q = np.zeros(40)
         q[t] = w
         all_ = np.round(dense @ q, 12)
+        if out >= 0:
+            all_[out] = 0
         want = np.lexsort((np.arange(500), -all_))[: toxicity.NEIGHBOURS]
         assert len(found) == min(toxicity.NEIGHBOURS, (all_ > 0).sum()) and np.allclose(cosines, all_[want][: len(cosines)]) and set(found) <= set(np.flatnonzero(all_ >= all_[want[-1]] - 1e-9))
 

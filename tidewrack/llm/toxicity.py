@@ -33,8 +33,10 @@ EXAMPLES = 4096
 LIFT = 3.0
 #: SURE: terms of no class that may be taken for telling, of all terms tried, in expectation.
 NEIGHBOURS, SURE = 16, 1.0
-#: Examples of a block.
-BLOCK = 64
+#: Examples of a block (NEIGHBOURS at least); blocks scored first; examples that make a term common; groups of common terms.
+BLOCK, SEEDS, COMMON, GROUPS = 64, 8, 192, 8
+#: Texts scored together.
+BATCH = 128
 #: Added to a distance before it is inverted, and the votes of the prior.
 FLOOR, PRIOR_VOTES = 0.05, 0.5
 
@@ -87,6 +89,25 @@ def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(owner)) + np.repeat(start - (np.cumsum(size) - size), size), owner
 
 
+def grouped(term: np.ndarray, example: np.ndarray, value: np.ndarray, terms: int, examples: int, sample: int = 512) -> np.ndarray:
+    """Group of each common term: terms of the same examples together, by k-means over an even sample of examples."""
+    if not terms:
+        return np.zeros(0, np.int64)
+    chosen = np.full(examples, -1)
+    chosen[np.linspace(0, examples - 1, min(sample, examples)).astype(int)] = 0
+    chosen[chosen == 0] = np.arange((chosen == 0).sum())
+    x = np.zeros((terms, sample))
+    held = chosen[example] >= 0
+    x[term[held], chosen[example[held]]] = value[held]
+    x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+    centres = x[np.linspace(0, terms - 1, GROUPS).astype(int)]
+    for _ in range(6):
+        at = np.argmax(x @ centres.T, axis=1)
+        centres = np.stack([x[at == g].sum(0) if (at == g).any() else centres[g] for g in range(GROUPS)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1), 1e-12)[:, None]
+    return at
+
+
 @dataclass
 class Index:
     """Block-max inverted index of the examples' unit vectors, and the calibrated vote."""
@@ -102,73 +123,116 @@ class Index:
     shift: float = 0.0
     #: The same examples by their telling terms alone; examples without any are left to the other vote.
     telling: Index | None = None
-    #: Examples by block: those of few terms first, so that the weights of a block are alike and its maxima tight.
-    place: np.ndarray | None = None  # position of each example in that order
-    at: np.ndarray | None = None  # example at each position
-    #: Postings by term, then position: entry x of block[x], largest weight most[x], has the postings entry[x]:entry[x + 1].
-    first: np.ndarray | None = None  # entries of term t: first[t]:first[t + 1]
-    block: np.ndarray | None = None
-    most: np.ndarray | None = None
-    entry: np.ndarray | None = None
+    #: Example at each position, and position of each example: alike ones stand together, BLOCK to a block.
+    at: np.ndarray | None = None
+    place: np.ndarray | None = None
+    #: Postings by term: those of term t are first[t]:first[t + 1].
+    first: np.ndarray | None = None
     position: np.ndarray | None = None
     value: np.ndarray | None = None
+    common: np.ndarray | None = None  # number among the common terms, -1 for a rare term
+    group: np.ndarray | None = None  # group of each common term
+    most: np.ndarray | None = None  # by block: the largest norm of an example over the terms of each group
+    #: Made where it is needed: weights of common terms by block, example and term; terms and weights by position.
+    made: tuple[np.ndarray, ...] | None = None
 
     def build(self) -> Index:
-        sizes = np.array([len(t) for t, _ in self.vectors], dtype=np.int64)
-        self.at = np.argsort(sizes, kind="stable")
-        self.place = np.empty(len(sizes), np.int64)
-        self.place[self.at] = np.arange(len(sizes))
+        n, sizes = len(self.vectors), np.array([len(t) for t, _ in self.vectors], dtype=np.int64)
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.vectors)])
-        position = np.repeat(self.place, sizes)
-        order = np.lexsort((position, term))
-        term, position = term[order], position[order]
-        self.position = position.astype(np.int32)
-        self.value = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])[order]
-        block = position // BLOCK
-        new = np.ones(len(term), dtype=bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        starts = np.flatnonzero(new)
-        self.entry = np.append(starts, len(term))
-        self.block = block[starts].astype(np.int32)
-        self.most = np.maximum.reduceat(self.value, starts) if len(starts) else np.zeros(0)
-        self.first = np.searchsorted(term[starts], np.arange(len(self.terms) + 1))
+        value = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
+        example = np.repeat(np.arange(n), sizes)
+        often = np.flatnonzero(np.bincount(term, minlength=len(self.terms)) >= COMMON)
+        self.common = np.full(len(self.terms), -1)
+        self.common[often] = np.arange(len(often))
+        among = self.common[term] >= 0
+        self.group = grouped(self.common[term[among]], example[among], value[among], len(often), n)
+        norms = np.sqrt(np.bincount(example[among] * GROUPS + self.group[self.common[term[among]]], value[among] ** 2, n * GROUPS).reshape(n, GROUPS))
+        self.at = np.lexsort((sizes, norms.argmax(1))) if n else np.zeros(0, np.int64)
+        self.place = np.empty(n, np.int64)
+        self.place[self.at] = np.arange(n)
+        blocks = np.arange(-(-n // BLOCK) + 1) * BLOCK
+        self.most = np.maximum.reduceat(norms[self.at], blocks[:-1]) if n else np.zeros((0, GROUPS))
+        order = np.argsort(term, kind="stable")
+        term, self.position, self.value = term[order], self.place[example][order].astype(np.int32), value[order]
+        self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
         return self
 
+    def forward(self) -> tuple[np.ndarray, ...]:
+        """(dense weights of common terms in single precision; first, term, value of each position's postings)."""
+        if self.made is None:
+            term = np.repeat(np.arange(len(self.terms)), np.diff(self.first))
+            number, width = self.common[term], len(self.most) * BLOCK
+            dense = np.zeros((width, len(self.group)), np.float32)
+            among = number >= 0
+            dense[self.position[among], number[among]] = self.value[among]
+            order = np.argsort(self.position, kind="stable")
+            self.made = (dense.reshape(len(self.most), BLOCK, -1), np.searchsorted(self.position[order], np.arange(width + 1)), term[order], self.value[order])
+        return self.made
+
     def vector(self, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(tf)) * self.idf[term]
         return term, w / np.sqrt((w * w).sum())
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the NEIGHBOURS nearest with a common term; ties go to the earlier example.
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (examples, cosines) of the NEIGHBOURS nearest with a common term, but for the example `without`.
 
-        Blocks are scored from the highest bound down (the sum of the terms'
-        largest weights in the block) until no bound reaches the last of the
-        nearest: the rest cannot hold a nearer one.
+        Ties go to the earlier example. Texts of one main group of terms are
+        scored together, since they leave out the same blocks.
+        """
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        if len(self.ids):
+            norms = np.array([np.bincount(self.group[c[c >= 0]], w[c >= 0] ** 2, GROUPS) for c, w in ((self.common[t], w) for t, w in texts)])
+            main = norms.argmax(1)
+            for g in np.unique(main).tolist():
+                some = np.flatnonzero(main == g).tolist()
+                for k, found in zip(some, self._near([texts[k] for k in some], np.sqrt(norms[some]), [without[k] for k in some]), strict=True):
+                    out[k] = found
+        return out
+
+    def _near(self, texts: list[tuple[np.ndarray, np.ndarray]], norms: np.ndarray, without: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rare terms are added up in full. What the common ones can add in a
+        block is bounded by the norms of their groups (Cauchy and Schwarz), at
+        the block's largest. The blocks with the highest bounds give the last
+        of the nearest so far; only blocks whose bounds reach it are scored
+        then. Scores of common terms are products in single precision; all
+        examples within their error of the last of the nearest are scored
+        again in double precision.
         """
-        entries, owner = spread(self.first[term], self.first[term + 1])
-        bound = np.bincount(self.block[entries], self.most[entries] * weight[owner], len(self.at) // BLOCK + 1)
-        order = np.argsort(-bound, kind="stable")
-        score, done, step = np.zeros(len(self.at)), 0, 4
-        chosen = np.zeros(len(bound), dtype=bool)
-        least = 0.0
-        while done < len(order) and bound[order[done]] > max(least - 1e-9, 0):
-            now = order[done : done + step]
-            chosen[:] = False
-            chosen[now] = True
-            take = chosen[self.block[entries]]
-            post, which = spread(self.entry[entries[take]], self.entry[entries[take] + 1])
-            score += np.bincount(self.position[post], self.value[post] * weight[owner[take]][which], len(score))
-            done, step = done + step, 2 * step
-            if without >= 0:
-                score[self.place[without]] = 0
-            least = np.partition(score, -NEIGHBOURS)[-NEIGHBOURS] if len(score) > NEIGHBOURS else 0.0
-        found = np.flatnonzero(score > 0)
-        near, found = np.round(score[found], 12), self.at[found]
-        if len(found) > NEIGHBOURS:
-            keep = near >= np.partition(near, -NEIGHBOURS)[-NEIGHBOURS]
-            near, found = near[keep], found[keep]
-        best = np.lexsort((found, -near))[:NEIGHBOURS]
-        return found[best], near[best]
+        dense, start, terms, values = self.forward()
+        blocks, terms_common = len(self.most), len(self.group)
+        score = np.zeros((len(texts), blocks, BLOCK))
+        q = np.zeros((len(texts), terms_common), np.float32)
+        for k, (term, weight) in enumerate(texts):
+            number = self.common[term]
+            rare = number < 0
+            post, owner = spread(self.first[term[rare]], self.first[term[rare] + 1])
+            score[k] = np.bincount(self.position[post], self.value[post] * weight[rare][owner], blocks * BLOCK).reshape(blocks, BLOCK)
+            q[k, number[~rare]] = weight[~rare]
+        error = 4 * (terms_common + 8) * 2.0**-24
+        bound = score.max(2) + norms @ self.most.T + error
+        scored, least = np.zeros(blocks, dtype=bool), np.zeros(len(texts))
+        now = np.zeros(blocks, dtype=bool)
+        now[np.argsort(-bound, axis=1, kind="stable")[:, :SEEDS]] = True
+        while now.any():
+            score[:, now] += (q @ dense[now].reshape(int(now.sum()) * BLOCK, terms_common).T).reshape(len(texts), -1, BLOCK)
+            scored |= now
+            held = score[:, scored].reshape(len(texts), -1)
+            for k, x in enumerate(without):
+                if x >= 0:
+                    held[k, held_place(self.place[x], scored)] = 0
+            least = np.partition(held, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS] if held.shape[1] >= NEIGHBOURS else least
+            now = (bound > np.maximum(least - error, 0)[:, None]).any(0) & ~scored
+        names = (np.flatnonzero(scored)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        query = np.zeros(len(self.terms))
+        for k, (term, weight) in enumerate(texts):
+            place = names[np.flatnonzero(held[k] > max(least[k] - error, 0))]
+            post, owner = spread(start[place], start[place + 1])
+            query[term] = weight
+            near = np.round(np.bincount(owner, values[post] * query[terms[post]], len(place)), 12)
+            query[term] = 0
+            found = self.at[place]
+            best = np.lexsort((found, -near))[:NEIGHBOURS]
+            yield found[best], near[best]
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """Logit of the distance-weighted share of toxic neighbours."""
@@ -190,15 +254,23 @@ class Index:
         hit = self.terms[at] == h
         return self.vector(at[hit], tf[hit]) if hit.any() else (at[hit], np.zeros(0))
 
-    def judge(self, h: np.ndarray, tf: np.ndarray, without: int | None = None) -> tuple[tuple[float, float], np.ndarray, np.ndarray]:
-        """(votes by all and by telling terms, nearest examples by all terms, cosines); `without` the example of that doc_id."""
-        votes, near = [], []
+    def judge(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int | None] | None = None) -> Iterator[tuple[tuple[float, float], np.ndarray, np.ndarray]]:
+        """For each text (terms, counts): (votes by all and by telling terms, nearest examples by all terms, cosines); `without` the example of that doc_id."""
+        without = without or [None] * len(texts)
+        near = []
         for index in (self, self.telling):
-            at = -1 if without is None else int(np.searchsorted(index.ids, without))
-            at = at if 0 <= at < len(index.ids) and index.ids[at] == without else -1
-            near.append(index.nearest(*index.known(h, tf), without=at) if len(index.ids) else (np.zeros(0, np.int64), np.zeros(0)))
-            votes.append(index.vote(*near[-1]) if len(near[-1][0]) else math.log(index.none / (1 - index.none)))
-        return tuple(votes), *near[0]
+            at = [-1 if x is None else int(np.searchsorted(index.ids, x)) for x in without]
+            at = [a if 0 <= a < len(index.ids) and index.ids[a] == x else -1 for a, x in zip(at, without, strict=True)]
+            near.append((index, index.nearest([index.known(*x) for x in texts], at)))
+        for k in range(len(texts)):
+            votes = tuple(index.vote(*n[k]) if len(n[k][0]) else math.log(index.none / (1 - index.none)) for index, n in near)
+            yield votes, *near[0][1][k]
+
+
+def held_place(place: int, scored: np.ndarray) -> int | slice:
+    """Where the position stands among those of the scored blocks; nowhere if its block is not scored."""
+    block = place // BLOCK
+    return int(scored[:block].sum()) * BLOCK + int(place) % BLOCK if scored[block] else slice(0, 0)
 
 
 def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], float]:
@@ -282,27 +354,50 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
 
     index = over(np.arange(len(names)))
     index.telling = over(telling(number, counts, doc, toxic, len(names)))
-    starts = np.flatnonzero(np.diff(doc)) + 1
-    votes = [index.judge(h, n, d)[0] for h, n, d in zip(np.split(names[number], starts), np.split(counts, starts), ids.tolist(), strict=True)]
-    index.slopes, index.shift = calibrate(np.array(votes), toxic, weight)
+    del held_terms, held_ids, counts, number, doc, order
+    # leave-one-out votes of 2 * examples rows
+    made = source.mapInArrow(_votes(index), "doc_id long, near double, telling double").groupBy("doc_id").agg(F.avg("near").alias("near"), F.avg("telling").alias("telling")).toArrow()
+    at = np.searchsorted(ids, made["doc_id"].to_numpy())
+    known = np.flatnonzero((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == made["doc_id"].to_numpy()))
+    votes = np.stack([made[c].to_numpy()[known] for c in ("near", "telling")], axis=1)
+    index.slopes, index.shift = calibrate(votes, toxic[at[known]], weight[at[known]])
     scratch.drop("marked", "tf")
     return index
 
 
+def _judged(index: Index, data: np.ndarray, offsets: np.ndarray, without: list | None = None) -> Iterator[tuple]:
+    """`Index.judge` of every text of a batch, in order."""
+    for i, j in K.blocks(offsets):
+        doc, h, tf = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        edge = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
+        texts = [(h[a:b], tf[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        for k in range(0, len(texts), BATCH):
+            yield from index.judge(texts[k : k + BATCH], without and without[i + k : i + k + BATCH])
+
+
+def _votes(index: Index) -> Callable:
+    """doc_id and the votes on each example without itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [v for v, *_ in _judged(index, *K.flat(batch.column(1)), batch.column(0).to_pylist())]
+            if votes:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in zip(*votes, strict=True))], names=["doc_id", "near", "telling"])
+
+    return run
+
+
 def _scores(index: Index) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.flat(batch.column(1))
             score = np.full(batch.num_rows, index.none)
             evidence: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for i, j in K.blocks(offsets) if len(index.terms) else ():
-                doc, h, tf = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                edge = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
-                for d, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                    votes, found, cosines = index.judge(h[a:b], tf[a:b])
-                    if len(found):
-                        score[i + d] = index.score(votes)
-                        evidence[i + d] = [{"doc_id": int(index.ids[f]), "toxic": int(index.toxic[f]), "cosine": float(c)} for f, c in zip(found[:3], cosines[:3], strict=True)]
+            judged = _judged(index, data, offsets) if len(index.terms) else ()
+            for d, (votes, found, cosines) in enumerate(judged):
+                if len(found):
+                    score[d] = index.score(votes)
+                    evidence[d] = [{"doc_id": int(index.ids[f]), "toxic": int(index.toxic[f]), "cosine": float(c)} for f, c in zip(found[:3], cosines[:3], strict=True)]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns) if k != 1), pa.array(score), pa.array(evidence, kind)], names=[*(n for k, n in enumerate(batch.schema.names) if k != 1), "score", "evidence"])
 
