@@ -165,3 +165,12 @@ def test_damage_never_raises(kind):
         for _ in range(rng.randint(1, 6)):
             hurt[rng.randrange(used)] = rng.randrange(256)
         list(decode(unit(bytes(hurt), 4096)))
+
+
+def test_unsigned_or_zero(spark):
+    """Digits alone count: a line end behind them does not."""
+    texts = {"5": 5, "+5": 5, "5\n": 0, " 5": 0, "": 0, "4294967295": 4294967295, "4294967296": 0, "0000000000007": 7, "-1": 0, "5x": 0}
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", evtx.unsigned_or_zero(F.col("text")).alias("n")).collect()
+    assert {r["text"]: r["n"] for r in rows} == texts

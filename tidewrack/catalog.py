@@ -7,7 +7,14 @@ from the table.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import io
+import os
+import shutil
 import struct
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,7 +25,7 @@ from . import encoders as E
 from .functions import times
 from .operators import evtx, lnk, mft
 from .plans import timeline as plan
-from .sources import triage
+from .sources import sinks, triage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -419,7 +426,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of every kind, and some of none."""
     junk = files(events_of(spark, sf_dir), "event_id", "junk", lambda rows: b"MZ" + bytes(len(rows)))
     times_ = lambda r: E.ticks(r["us"])
-    short = files(events_of(spark, sf_dir).where("event_id % 10 = 0"), "event_id", "lnk", lambda rows: E.shortcut(0, 0, times_(rows[0]), relative=f"t{rows[0]['event_id']}"), per=10)
+    short = files(events_of(spark, sf_dir), "event_id", "lnk", lambda rows: E.shortcut(0, 0, times_(rows[0]), relative=f"t{rows[0]['event_id']}"), per=1)
     return mft_files(spark, sf_dir, plain_record).unionByName(log_files(spark, sf_dir, logon)).unionByName(short).unionByName(junk)
 
 
@@ -429,7 +436,7 @@ def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PATHS = f"""SELECT 'mft' AS source, '/case/mft/' || event_id // {PER_FILE} AS artifact_path, event_id, {US} + k.sec * 1000000 AS us, k.seq AS seq, k.event_type AS event_type, 'File ' || k.verb || ': ' || e.{NAME} AS description, e.{NAME} AS target_path FROM events e, {MACB}
  UNION ALL SELECT 'evtx', '/case/evtx/' || event_id // {PER_FILE}, event_id, {US}, 0, 'evtx_event_4624', 'Logon: user' || user_id || ' (type ' || event_id % 12 || ') from ' || event_type, NULL FROM events
- UNION ALL SELECT 'lnk', '/case/lnk/' || event_id // 10, event_id, {US}, 0, 'lnk_target_referenced', 'Shortcut targets t' || event_id, 't' || event_id FROM events WHERE event_id % 10 = 0"""
+ UNION ALL SELECT 'lnk', '/case/lnk/' || event_id, event_id, {US}, 0, 'lnk_target_referenced', 'Shortcut targets t' || event_id, 't' || event_id FROM events"""
 
 
 @query(f"SELECT coalesce(kind, 'none') AS kind, count(*) AS files FROM (SELECT DISTINCT source AS kind, artifact_path FROM ({PATHS}) UNION ALL SELECT DISTINCT NULL, CAST(event_id // {PER_FILE} AS VARCHAR) FROM events) GROUP BY ALL")
@@ -447,11 +454,8 @@ def per_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT row_number() OVER (ORDER BY us, artifact_path, event_id, seq) AS place, source, artifact_path, event_type, description FROM ({PATHS})")
 def timeline_union_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events in order of time; ties by path and place in the file. A global number is the point of this query, so its window has one partition."""
-    from pyspark.sql import Window
-
-    got = mixed_events(spark, sf_dir).withColumn("place", F.row_number().over(Window.orderBy(*plan.ORDER)).cast("long"))
-    return plan.ordered(got).select("place", "source", "artifact_path", "event_type", "description")
+    """All events in order of time; ties by path and place in the file."""
+    return plan.ordered(plan.numbered(mixed_events(spark, sf_dir))).select("place", "source", "artifact_path", "event_type", "description")
 
 
 @query(f"SELECT {sql_time('us', 'Z')} AS timestamp, source, event_type, description, artifact_path, target_path, target_path IS NOT NULL AS has_target FROM ({PATHS})")
@@ -468,6 +472,196 @@ def timeline_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.csv_rows(mixed_events(spark, sf_dir)).select(*plan.CSV_HEADER)
 
 
+# Folders and files.
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in the checkpoint folder if that is a mounted one, else a temporary one of this machine."""
+    said = spark.conf.get("spark.checkpoint.dir", None) or ""
+    base = said.removeprefix("file://") if said.startswith("file://") else said if said.startswith("/") else tempfile.gettempdir()
+    root = os.path.join(base, f"case-{uuid.uuid4().hex}")
+    os.makedirs(root)
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+def store(made: DataFrame, root: str) -> None:
+    """Write the files `made` (path, content, optional us: modification time) below `root` in place of /case."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = root + row["path"].removeprefix("/case")
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(row["content"])
+                if "us" in row:
+                    os.utime(path, ns=(row["us"] * 1000, row["us"] * 1000))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    made.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def below(root: str, column: str = "artifact_path") -> Column:
+    return F.concat(F.lit("/case"), F.substring(column, len(root) + 1, 1 << 20)).alias(column)
+
+
+@query(f"SELECT source, replace(artifact_path, '/case/mft/', '/case/.mft/_') AS artifact_path, count(*) AS events FROM ({PATHS}) GROUP BY ALL")
+def scan_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files on disk, hidden names among them, scanned, routed and decoded."""
+    root = folder(spark)
+    store(mixed(spark, sf_dir).select(F.replace("path", F.lit("/case/mft/"), F.lit("/case/.mft/_")).alias("path"), "content"), root)
+    return plan.event_counts(plan.collect(spark, root)).select("source", below(root), "events")
+
+
+@query(f"SELECT '/case/lnk/' || event_id AS artifact_path, {sql_time(US)} AS ts_text FROM events")
+def scan_mtime_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortcuts without times of their own take the modification times of their files."""
+    root = folder(spark)
+    rows = events_of(spark, sf_dir).select(F.concat(F.lit("/case/lnk/"), "event_id").alias("path"), F.lit(E.shortcut(E.EPOCH, E.EPOCH, E.EPOCH, relative="t")).alias("content"), "us")
+    store(rows, root)
+    return plan.collect(spark, root).select(below(root), at_text().alias("ts_text"))
+
+
+@query(f"SELECT us, source, event_type, description, artifact_path, target_path, source = 'evtx' AS has_fields FROM ({PATHS})")
+def sink_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON Lines file, read back with VARIANT extras."""
+    out = os.path.join(folder(spark), "timeline.jsonl")
+    sinks.write_jsonl(mixed_events(spark, sf_dir), out)
+    got = sinks.read_jsonl(spark, "file://" + out)
+    fields = F.try_variant_get("extra", "$.fields.LogonType", "string").isNotNull()
+    return got.select(F.unix_micros("timestamp").alias("us"), "source", "event_type", "description", "artifact_path", "target_path", fields.alias("has_fields"))
+
+
+@query(f'SELECT {sql_time("us")} AS "Timestamp", source AS "Source", event_type AS "EventType", description AS "Description", artifact_path AS "ArtifactPath", coalesce(target_path, \'\') AS "TargetPath" FROM ({PATHS})')
+def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV file with its header, read back."""
+    out = os.path.join(folder(spark), "timeline.csv")
+    sinks.write_csv(mixed_events(spark, sf_dir), out)
+    got = spark.read.options(header=True, escape='"', multiLine=True).csv("file://" + out)
+    return got.select(*(F.coalesce(n, F.lit("")).alias(n) for n in plan.CSV_HEADER))
+
+
+@query(
+    f"""SELECT '[mft] /case/mft/' || event_id // {PER_FILE} || ' -> ' || 4 * count(*) || ' event(s)' AS line FROM events GROUP BY event_id // {PER_FILE}
+    UNION ALL SELECT count(DISTINCT event_id // {PER_FILE}) || ' file(s) scanned, ' || 4 * count(*) || ' event(s) written to timeline.jsonl' FROM events"""
+)
+def cli_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line says of a folder: a line a file, and the sums."""
+    from . import cli
+
+    root, said = folder(spark), io.StringIO()
+    store(mft_files(spark, sf_dir, plain_record), root)
+    out = os.path.join(folder(spark), "timeline.jsonl")
+    with contextlib.redirect_stderr(said):
+        cli.collect(spark, root, out, "jsonl")
+    lines = [x.replace(root, "/case").replace(out, "timeline.jsonl") for x in said.getvalue().splitlines() if "event(s)" in x]
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+# Shapes that the other queries do not have.
+
+
+@query(f"SELECT '/case/mft/' || event_id // {PER_FILE} AS artifact_path, rank() OVER (PARTITION BY event_id // {PER_FILE} ORDER BY event_id) - 1 AS mft_entry, CASE WHEN event_id % 2 = 0 THEN {NAME} ELSE '(unknown name)' END AS target_path FROM events")
+def mft_resident_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes that are not resident are passed over."""
+
+    def record(r: dict) -> bytes:
+        t = E.ticks(r["us"])
+        return E.mft_record([E.file_name("elsewhere", 5, t, 0, resident=False), E.standard_information((t, 0, 0, 0)), E.file_name(f"{r['event_type']}_{r['event_id']}.dat", 5, t, resident=r["event_id"] % 2 == 0)])
+
+    return mft_events(mft_files(spark, sf_dir, record)).select("artifact_path", number_of("mft_entry").alias("mft_entry"), "target_path")
+
+
+@query(
+    """SELECT '/case/lnk/' || o_orderkey AS artifact_path, CASE o_orderkey % 3 WHEN 0 THEN '\\\\srv' || o_custkey || '\\share' WHEN 1 THEN 't' || o_orderkey ELSE '\\\\' || repeat('s', 1000 + o_orderkey % 2) || left('0123456789abcdefghijklmnopqrstuvwxyz', 21) END AS target_path FROM orders"""
+)
+def lnk_network_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of a network share, if there is no other path; at most 1024 bytes of it."""
+
+    def encode(r: dict) -> bytes:
+        n, t = r["o_orderkey"], E.ticks(r["us"])
+        long = "\\\\" + "s" * (1000 + n % 2) + "0123456789abcdefghijklmnopqrstuvwxyz"[:21]
+        return E.shortcut(t, t, t, network=long if n % 3 == 2 else f"\\\\srv{r['o_custkey']}\\share", relative=f"t{n}" if n % 3 == 1 else None)
+
+    return lnk_events(lnk_files(spark, sf_dir, encode)).select("artifact_path", "target_path")
+
+
+@query(
+    f"""SELECT '/case/inline/' || event_id // {PER_FILE} AS artifact_path, {sql_time(US)} AS ts_text, 'evtx_event_4624' AS event_type, 'Logon: user' || user_id || ' (type ' || event_id % 12 || ') from ' || event_type AS description,
+    event_id AS record_id, user_id % 5 + 1 AS process_id, 'Inline' AS provider, 'k' || event_id AS other FROM events"""
+)
+def evtx_inline_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without template: values bound to elements, attributes and named data."""
+
+    def add(chunk: E.ChunkWriter, r: dict) -> None:
+        x = E.Inline()
+        x.open("Provider")
+        x.attribute("Name", "Inline")
+        x.close()
+        x.open("EventID")
+        x.text("4624")
+        x.close()
+        x.open("Execution")
+        x.attribute("ProcessID", str(r["user_id"] % 5 + 1))
+        x.close()
+        x.open("Custom")
+        x.attribute("Kind", f"k{r['event_id']}")
+        x.close()
+        for name, text in zip(LOGON, (f"user{r['user_id']}", str(r["event_id"] % 12), r["event_type"]), strict=True):
+            x.open("Data")
+            x.attribute("Name", name)
+            x.text(text)
+            x.close()
+        chunk.raw(r["event_id"], E.ticks(r["us"]), x.body())
+
+    got = log_events(log_files(spark, sf_dir, add, "inline"))
+    other = F.try_element_at(F.from_json(F.get_json_object("extra", "$.fields"), "map<string,string>"), F.lit("Custom/Kind"))
+    return got.select(
+        "artifact_path", at_text().alias("ts_text"), "event_type", "description", number_of("record_id").alias("record_id"), number_of("process_id").alias("process_id"),
+        F.get_json_object("extra", "$.provider").alias("provider"), other.alias("other"),
+    )
+
+
+@query("SELECT event_id AS record_id, CASE WHEN event_id % 2 = 0 THEN 'Stated' ELSE 'Given' END AS channel FROM events")
+def evtx_template_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text that the template itself holds stands where no value does."""
+
+    def build(body: E.Body) -> None:
+        body.out += b"\x0f\x01\x01\0"
+        for name in ("Event", "System"):
+            body.open(name)
+            body.out += b"\x02"
+        body.bound("Provider", [("Name", 0, "wstr")])
+        body.element("EventID", 1, "u16")
+        body.bound("TimeCreated", [("SystemTime", 2, "filetime")])
+        body.element("EventRecordID", 3, "u32")
+        body.open("Channel")
+        body.out += b"\x02"
+        body.literal("Stated")
+        body.slot(6, "wstr")
+        body.out += b"\x04\x04\x04"
+
+    def add(chunk: E.ChunkWriter, r: dict) -> None:
+        chunk.record(r["event_id"], E.ticks(r["us"]), "stated", build, system_values(r, 1, "P", channel="Given" if r["event_id"] % 2 else None))
+
+    return log_events(log_files(spark, sf_dir, add)).select(number_of("record_id").alias("record_id"), F.get_json_object("extra", "$.channel").alias("channel"))
+
+
+@query("SELECT event_id AS record_id, least(4090 + event_id % 12, 4096) AS chars FROM events")
+def evtx_value_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value keeps 4096 characters."""
+
+    def encode(rows: list[dict]) -> bytes:
+        chunk = E.ChunkWriter()
+        for r in rows:
+            chunk.record(r["event_id"], E.ticks(r["us"]), "logon", template(LOGON), system_values(r, 4624, "P") + [("wstr", "é" * (4090 + r["event_id"] % 12)), ("u32", 2), ("wstr", "")])
+        return E.event_log([chunk.full()])
+
+    got = log_events(files(events_of(spark, sf_dir), "event_id", "evtx", encode, per=6))
+    return got.select(number_of("record_id").alias("record_id"), F.char_length(F.get_json_object("extra", "$.fields.TargetUserName")).cast("long").alias("chars"))
+
+
 # Times.
 
 TICKS = "(event_id - 500) * 36000000123457"

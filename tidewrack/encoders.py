@@ -28,10 +28,10 @@ def standard_information(times: tuple[int, int, int, int]) -> bytes:
     return _attribute(0x10, struct.pack("<4q", *times) + bytes(16))
 
 
-def file_name(name: str, parent: int, created: int, namespace: int = 1) -> bytes:
+def file_name(name: str, parent: int, created: int, namespace: int = 1, resident: bool = True) -> bytes:
     raw = name.encode("utf-16-le")
     content = struct.pack("<Qq", parent, created) + struct.pack("<3q", created, created, created) + bytes(24) + bytes([len(raw) // 2, namespace]) + raw
-    return _attribute(0x30, content)
+    return _attribute(0x30, content, resident)
 
 
 def mft_record(attributes: list[bytes], magic: bytes = b"FILE", saved: int = 3) -> bytes:
@@ -66,8 +66,8 @@ def uuid_with_node(node: bytes, version: int = 1) -> bytes:
     return bytes(6) + struct.pack("<H", version << 12 | 0x123) + b"\x80\x01" + node
 
 
-def shortcut(ctime: int, atime: int, wtime: int, local: str | None = None, relative: str | None = None, arguments: str | None = None, blocks: bytes = b"", show: int = 1, tail: bytes = b"", ids: bytes | None = None) -> bytes:
-    flags = 0x80 | (0x01 if ids is not None else 0) | (0x02 if local is not None else 0) | (0x08 if relative is not None else 0) | (0x20 if arguments is not None else 0)
+def shortcut(ctime: int, atime: int, wtime: int, local: str | None = None, relative: str | None = None, arguments: str | None = None, blocks: bytes = b"", show: int = 1, tail: bytes = b"", ids: bytes | None = None, network: str | None = None) -> bytes:
+    flags = 0x80 | (0x01 if ids is not None else 0) | (0x02 if local is not None or network is not None else 0) | (0x08 if relative is not None else 0) | (0x20 if arguments is not None else 0)
     head = struct.pack("<I", 0x4C) + bytes.fromhex("0114020000000000c000000000000046") + struct.pack("<II", flags, 0x20) + struct.pack("<3q", ctime, atime, wtime) + struct.pack("<III", 0, 0, show)
     out = head.ljust(0x4C, b"\0")
     if ids is not None:
@@ -76,6 +76,9 @@ def shortcut(ctime: int, atime: int, wtime: int, local: str | None = None, relat
         path = local.encode() + b"\0"
         size = 0x2C + len(path) + 1
         out += struct.pack("<7I", size, 0x1C, 1, 0x1C, 0x2C, 0, 0x2C + len(path)) + bytes(16) + path + b"\0"
+    elif network is not None:
+        share = network.encode() + b"\0"
+        out += struct.pack("<7I", 0x1C + 0x14 + len(share), 0x1C, 2, 0, 0, 0x1C, 0) + struct.pack("<5I", 0x14 + len(share), 0, 0x14, 0, 0) + share
     for text in (relative, arguments):
         if text is not None:
             out += counted(text)
@@ -148,6 +151,34 @@ class Body:
         self.out += b"\x04"
 
 
+class Inline:
+    """A record without template: tokens, then the names, whose places count from the body's start."""
+
+    def __init__(self):
+        self.parts: list[bytes | str] = [b"\x0f\x01\x01\0"]
+
+    def open(self, name: str) -> None:
+        self.parts += [b"\x01" + bytes(6), name]
+
+    def attribute(self, name: str, text: str) -> None:
+        self.parts += [b"\x06", name]
+        self.text(text)
+
+    def text(self, text: str) -> None:
+        self.parts.append(b"\x05\x01" + counted(text))
+
+    def close(self) -> None:
+        self.parts.append(b"\x03")
+
+    def body(self) -> bytes:
+        at, places, tail = sum(4 if isinstance(p, str) else len(p) for p in self.parts) + 1, {}, b"\0"
+        for name in dict.fromkeys(p for p in self.parts if isinstance(p, str)):
+            raw = name.encode("utf-16-le")
+            node = struct.pack("<IHH", 0, 0, len(raw) // 2) + raw + b"\0\0"
+            places[name], at, tail = at, at + len(node), tail + node
+        return b"".join(struct.pack("<I", places[p]) if isinstance(p, str) else p for p in self.parts) + tail
+
+
 def definition(body: bytes) -> bytes:
     return struct.pack("<I", 0) + bytes(16) + struct.pack("<I", len(body)) + body
 

@@ -332,7 +332,7 @@ def field(name: str) -> Column:
 
 def unsigned_or_zero(text: Column) -> Column:
     """Value of a decimal text that fits 32 bits, an optional plus before it; else 0."""
-    digits = F.regexp_extract(text, r"^\+?([0-9]+)$", 1)
+    digits = F.regexp_extract(text, r"^\+?([0-9]+)\z", 1)
     short = F.regexp_replace(digits, "^0+(?=.)", "")
     value = F.when((digits != "") & (F.length(short) <= 10), short.cast("long")).otherwise(F.lit(0).cast("long"))
     return F.when(value <= 0xFFFFFFFF, value).otherwise(F.lit(0).cast("long"))
