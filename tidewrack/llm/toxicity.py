@@ -36,7 +36,7 @@ NEIGHBOURS, SURE = 16, 1.0
 #: Examples of a block (NEIGHBOURS at least); blocks scored first; examples that make a term common; groups of common terms.
 BLOCK, SEEDS, COMMON, GROUPS = 64, 8, 192, 8
 #: Texts scored together.
-BATCH = 128
+BATCH = 256
 #: Added to a distance before it is inverted, and the votes of the prior.
 FLOOR, PRIOR_VOTES = 0.05, 0.5
 
@@ -208,13 +208,15 @@ class Index:
             post, owner = spread(self.first[term[rare]], self.first[term[rare] + 1])
             score[k] = np.bincount(self.position[post], self.value[post] * weight[rare][owner], blocks * BLOCK).reshape(blocks, BLOCK)
             q[k, number[~rare]] = weight[~rare]
-        error = 4 * (terms_common + 8) * 2.0**-24
+        # of unit vectors, for as many products as a text has common terms; the rest add exact zeros
+        error = 2 * (int((q > 0).sum(1).max()) + 8) * 2.0**-24
         bound = score.max(2) + norms @ self.most.T + error
         scored, least = np.zeros(blocks, dtype=bool), np.zeros(len(texts))
         now = np.zeros(blocks, dtype=bool)
         now[np.argsort(-bound, axis=1, kind="stable")[:, :SEEDS]] = True
         while now.any():
-            score[:, now] += (q @ dense[now].reshape(int(now.sum()) * BLOCK, terms_common).T).reshape(len(texts), -1, BLOCK)
+            for a, b in np.flatnonzero(np.diff(now.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist():  # runs of blocks
+                score[:, a:b] += (q @ dense[a:b].reshape((b - a) * BLOCK, terms_common).T).reshape(len(texts), b - a, BLOCK)
             scored |= now
             held = score[:, scored].reshape(len(texts), -1)
             for k, x in enumerate(without):
