@@ -329,6 +329,13 @@ def test_recall_counts_links_that_the_shards_lost(spark):
     assert embeddings.recall(nodes, counts(), 0.93) == 0 and embeddings.recall(nodes.limit(0), counts(), 0.93) == 1
 
 
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "recall", lambda *_: 0.5)
+    df = spark.createDataFrame([(k, [1.0, k / 10], 0) for k in range(6)], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="audited"):
+        embeddings.classes(df, tries=1)
+
+
 # 5
 
 BASE = {
