@@ -7,12 +7,13 @@ import random
 import re
 import zlib
 from collections import Counter
+from unittest import mock
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewrack.llm import chat, decontamination, embeddings, kernel, language, near_duplicates, packing, queries, repeats, secrets, sharding, toxicity
+from tidewrack.llm import chat, common, decontamination, embeddings, kernel, language, near_duplicates, packing, queries, repeats, secrets, sharding, toxicity
 from tidewrack.llm.common import Scratch
 from tidewrack.llm.graph import components
 
@@ -682,3 +683,16 @@ def test_equal_texts_share_a_shard(spark):
     texts = [f"text {k % 400} " + "w " * (k % 400 % 17) for k in range(4000)]
     rows = sharding.shard(table(spark, texts)).toPandas()
     assert (rows.assign(t=[texts[i] for i in rows.doc_id]).groupby("t")["shard"].nunique() == 1).all()
+
+
+@pytest.mark.parametrize(("master", "fails"), [("local[8]", False), ("spark://host:7077", True), ("yarn", True)])
+def test_only_local_mode_falls_back_to_a_local_folder(master, fails):
+    session = mock.MagicMock()
+    session.conf.get.return_value = None
+    session.sparkContext.getConf.return_value.get.return_value = None
+    session.sparkContext.master = master
+    if fails:
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            common.checkpoint_dir(session)
+    else:
+        assert common.checkpoint_dir(session).startswith("file://")

@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors (``spark.checkpoint.dir``).
 
-    It is set to a local folder only where the session leaves it unset, which
-    is the case in single-machine tests.
+    It is set to a local folder only where a local-mode session leaves it
+    unset, as in tests. On a cluster an unset folder is an error: executors
+    would not see each other's files.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         spark.conf.set("spark.checkpoint.dir", where)
     return where
