@@ -288,9 +288,11 @@ def test_repeats_on_awkward_rows(docs, none):
 # 4
 
 
-def test_embeddings_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "SHARD", 60)
-    monkeypatch.setattr(embeddings, "TASK", 150)
+@pytest.mark.parametrize(("shard", "task", "centres"), [(60, 150, 256), (20, 40, 3)])
+def test_embeddings_match_brute_force(spark, monkeypatch, shard, task, centres):
+    monkeypatch.setattr(embeddings, "SHARD", shard)
+    monkeypatch.setattr(embeddings, "TASK", task)
+    monkeypatch.setattr(embeddings, "CENTRES", centres)
     rng = np.random.default_rng(1)
     base = rng.normal(size=(150, 16))
     x = np.concatenate([base, base[:60] + 0.05 * rng.normal(size=(60, 16)), np.repeat(base[:1], 40, 0) + 0.05 * rng.normal(size=(40, 16)), base[5:8] * 3])
@@ -320,6 +322,37 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert embeddings.classes(df.limit(0)).count() == 0
 
 
+def unit_nodes(spark, x):
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    rows = [(0, x.shape[1], k, 1, bytearray(v.tobytes())) for k, v in enumerate(x)]
+    return spark.createDataFrame(rows, "label long, dim int, vec_id long, size long, unit binary")
+
+
+def test_large_shards_are_dealt_again(spark, monkeypatch):
+    for name, n in (("SHARD", 20), ("TASK", 30), ("CENTRES", 3)):
+        monkeypatch.setattr(embeddings, name, n)
+    rng = np.random.default_rng(2)
+    dense = rng.normal(size=(1, 8)) + 0.01 * rng.normal(size=(100, 8))
+    nodes = unit_nodes(spark, np.concatenate([rng.normal(size=(200, 8)), dense]))
+    rows = embeddings.sharded(nodes, Scratch(spark), 0.1, "t").drop("unit").collect()
+    assert Counter(r["vec_id"] for r in rows if r["home"]) == Counter(range(300))
+    assert len({(r["shard"], r["vec_id"]) for r in rows}) == len(rows)
+    assert max(r["shard"].count(".") for r in rows) > 1
+    filled = Counter(r["shard"] for r in rows)
+    assert all(r["chunks"] == -(-filled[r["shard"]] // 30) for r in rows)
+    # a group whose centres are all within the margin stays one shard, however often it is dealt
+    assert len({r["shard"] for r in rows if r["vec_id"] >= 200 and r["home"]}) == 1
+
+
+def test_guests_come_once_a_shard(spark):
+    member = spark.createDataFrame([(0, 2, "a", 0, 2, 1, 1, b"", True), (0, 2, "a", 1, 2, 2, 1, b"", True), (0, 2, "b", 0, 1, 3, 1, b"", True)], "label long, dim int, shard string, chunk int, chunks int, vec_id long, size long, unit binary, home boolean")
+    lists = spark.createDataFrame([(1, [2, 3]), (2, [3]), (3, [1, 4]), (4, [5]), (5, [6])], "vec_id long, close array<long>")
+    nodes = spark.createDataFrame([(k, 1, b"") for k in range(1, 7)], "vec_id long, size long, unit binary")
+    got = embeddings.guests(member, lists, nodes, Scratch(spark), "t").collect()
+    assert sorted((r["shard"], r["vec_id"]) for r in got) == [("a", 3), ("a", 4), ("b", 1), ("b", 2), ("b", 4), ("b", 5)]
+    assert not any(r["home"] for r in got)
+
+
 def test_recall_counts_links_that_the_shards_lost(spark):
     a, b = np.array([1.0, 0.0]).tobytes(), np.array([0.95, np.sqrt(1 - 0.95**2)]).tobytes()
     rows = [(0, 2, 1, 1, bytearray(a)), (0, 2, 2, 3, bytearray(b)), (1, 2, 3, 1, bytearray(a)), (0, 2, 4, 1, bytearray(np.array([-1.0, 0.0]).tobytes()))]
