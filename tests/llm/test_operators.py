@@ -12,6 +12,7 @@ from unittest import mock
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidewrack.llm import chat, common, decontamination, embeddings, kernel, language, near_duplicates, packing, queries, repeats, secrets, sharding, toxicity
@@ -492,6 +493,17 @@ def test_toxicity_indexes_every_term(spark):
     assert got[400]["score"] > got[401]["score"] and all(r["evidence"] for r in got.values())
 
 
+def test_toxicity_keeps_its_index_off_the_driver(spark, monkeypatch):
+    """An executor builds the index; the driver neither builds it nor sends it along with a function."""
+    monkeypatch.setattr(toxicity.Index, "build", mock.Mock(side_effect=AssertionError("built in the driver")))
+    rng = random.Random(14)
+    data = table(spark, [f"{prose(rng, 40)} {'scum idiot' if k % 3 == 0 else ''}" for k in range(120)])
+    fitted = toxicity.fit(data, spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int"))
+    index = fitted.load()
+    assert len(index.ids) == 120 and index.slopes == fitted.slopes and len(index.slopes) == 2 and len(index.telling.terms) >= 2
+    assert len(cloudpickle.dumps(toxicity._scores(fitted))) < 4096
+
+
 @pytest.mark.parametrize(("common", "seeds"), [(192, 8), (30, 1), (0, 1), (10_000, 1)])
 def test_nearest_is_exact(monkeypatch, common, seeds):
     monkeypatch.setattr(toxicity, "COMMON", common)

@@ -15,11 +15,13 @@ score from both.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,7 +144,7 @@ class Index:
         value = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
         example = np.repeat(np.arange(n), sizes)
         often = np.flatnonzero(np.bincount(term, minlength=len(self.terms)) >= COMMON)
-        self.common = np.full(len(self.terms), -1)
+        self.common = np.full(len(self.terms), -1, np.int32)
         self.common[often] = np.arange(len(often))
         among = self.common[term] >= 0
         self.group = grouped(self.common[term[among]], example[among], value[among], len(often), n)
@@ -154,7 +156,7 @@ class Index:
         self.most = np.maximum.reduceat(norms[self.at], blocks[:-1]) if n else np.zeros((0, GROUPS))
         order = np.argsort(term, kind="stable")
         term, self.position, self.value = term[order], self.place[example][order].astype(np.int32), value[order]
-        self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        self.first = np.searchsorted(term, np.arange(len(self.terms) + 1)).astype(np.int32)
         return self
 
     def forward(self) -> tuple[np.ndarray, ...]:
@@ -305,11 +307,94 @@ def telling(number: np.ndarray, tf: np.ndarray, doc: np.ndarray, toxic: np.ndarr
     return np.flatnonzero((ratio >= 2 * math.log(max(terms, 1) / SURE)) & ((lift >= LIFT) | (lift <= 1 / LIFT)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index | None:
+@dataclass
+class Fitted:
+    """A pickled index, broadcast, and its calibration; without a blob the index is empty and its score 0."""
+
+    blob: Broadcast | None = None
+    slopes: tuple[float, ...] = (1.0,)
+    shift: float = 0.0
+
+    def load(self) -> Index:
+        if self.blob is None:
+            return Index(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [], 0.0)
+        index = pickle.loads(self.blob.value)
+        index.slopes, index.shift = self.slopes, self.shift
+        return index
+
+
+#: Rows of the task that builds the index, by kind: term counts (doc_id, term, tf), document frequencies (at, df) and labels (doc_id, y).
+COUNTS, SPREAD, LABELS = 0, 1, 2
+#: Bytes of a row of the pickled index.
+CHUNK = 4 << 20
+
+
+def _rows(df: DataFrame, kind: int, *columns: str) -> DataFrame:
+    names = [*columns, *["0"] * (3 - len(columns))]
+    return df.select(F.lit(kind).alias("kind"), *(F.expr(f"cast({n} as long)").alias(a) for n, a in zip(names, "abc", strict=True)))
+
+
+def _index(total: dict[int, int]) -> Callable:
+    """n, part: the pickled index over all examples, made in one task; total: labels of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[list[np.ndarray]]] = [[], [], []]
+        for batch in batches:
+            kind, *columns = (c.to_numpy() for c in batch.columns)
+            for k in np.unique(kind).tolist():
+                held[k].append([c[kind == k] for c in columns])
+        if not held[COUNTS]:
+            return
+        (held_ids, held_terms, counts), (at, seen, _), (chosen, y, _) = ([np.concatenate(c) for c in zip(*x, strict=True)] for x in held)
+        held.clear()
+        order = np.lexsort((held_terms, held_ids))
+        held_ids, held_terms, counts = held_ids[order], held_terms[order], counts[order]
+        names, number = np.unique(held_terms, return_inverse=True)
+        df = np.zeros(len(names) + 1)
+        df[at] = seen
+        idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+        ids, doc = np.unique(held_ids, return_inverse=True)
+        order = np.argsort(chosen)
+        toxic = y[order][np.searchsorted(chosen[order], ids)].astype(np.float64)
+        rate = total.get(1, 0) / sum(total.values())
+        weight = weights(toxic, total)
+
+        def over(kept: np.ndarray) -> Index:
+            """Index of the examples by the terms `kept` (sorted numbers)."""
+            place = np.full(len(names), -1)
+            place[kept] = np.arange(len(kept))
+            at = np.flatnonzero(place[number] >= 0)
+            held, first = np.unique(doc[at], return_index=True)
+            left = np.ones(len(ids), dtype=bool)
+            left[held] = False
+            none = ((weight * toxic)[left].sum() + 0.5 * rate) / (weight[left].sum() + 0.5)
+            index = Index(names[kept], idf[kept], ids[held], toxic[held], weight[held], [], min(max(none, 1e-4), 1 - 1e-4))
+            index.vectors = [index.vector(place[number[x]], counts[x]) for x in np.split(at, first[1:])] if len(held) else []
+            index.build()
+            index.vectors = []
+            return index
+
+        index = over(np.arange(len(names)))
+        index.telling = over(telling(number, counts, doc, toxic, len(names)))
+        blob = pickle.dumps(index, pickle.HIGHEST_PROTOCOL)
+        for n in range(0, len(blob), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([blob[n : n + CHUNK]], pa.binary())], names=["n", "part"])
+
+    return run
+
+
+def weights(toxic: np.ndarray, total: dict[int, int]) -> np.ndarray:
+    """Labelled documents that each example stands for."""
+    stands = np.array([total.get(y, 0) / max((toxic == y).sum(), 1) for y in (0, 1)])
+    return stands[toxic.astype(np.int64)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted | None:
     """Index of at most `examples` of each class of `labels` (doc_id, toxic) with their texts in `docs`.
 
     Null labels, ids and ids with labels of both kinds are left out; repeated
-    rows count once. None without an example.
+    rows count once. None without an example. An executor builds the index; the
+    driver holds its distinct terms, then its bytes until they are broadcast.
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
@@ -322,49 +407,26 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
     chosen = scratch.save(chosen, "chosen")  # 2 * examples rows at most
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
     tf = source.mapInArrow(_counts, "doc_id long, term long, tf long").groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
-    held_ids, held_terms, counts = (c.to_numpy() for c in scratch.save(tf, "tf").toArrow().columns)  # the terms of 2 * examples texts
-    if not len(counts):
+    tf = scratch.save(tf, "tf")  # the terms of 2 * examples texts
+    names = np.sort(tf.select("term").distinct().toArrow().column(0).to_numpy())
+    if not len(names):
         return None
-    order = np.lexsort((held_terms, held_ids))
-    held_ids, held_terms, counts = held_ids[order], held_terms[order], counts[order]
-    names, number = np.unique(held_terms, return_inverse=True)
-    spread = docs.select(text_of().alias("text")).mapInArrow(_spread(names), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(len(names) + 1)
-    df[spread["at"].to_numpy()] = spread["df"].to_numpy()
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    label = {r["doc_id"]: r["y"] for r in chosen.collect()}
-    ids, doc = np.unique(held_ids, return_inverse=True)
-    toxic = np.array([label[d] for d in ids.tolist()], dtype=np.float64)
-    rate = total.get(1, 0) / sum(total.values())
-    stands = {y: total.get(y, 0) / max((toxic == y).sum(), 1) for y in (0, 1)}
-    weight = np.array([stands[y] for y in toxic.tolist()])
-
-    def over(kept: np.ndarray) -> Index:
-        """Index of the examples by the terms `kept` (sorted numbers)."""
-        place = np.full(len(names), -1)
-        place[kept] = np.arange(len(kept))
-        at = np.flatnonzero(place[number] >= 0)
-        held, first = np.unique(doc[at], return_index=True)
-        left = np.ones(len(ids), dtype=bool)
-        left[held] = False
-        none = ((weight * toxic)[left].sum() + 0.5 * rate) / (weight[left].sum() + 0.5)
-        index = Index(names[kept], idf[kept], ids[held], toxic[held], weight[held], [], min(max(none, 1e-4), 1 - 1e-4))
-        index.vectors = [index.vector(place[number[x]], counts[x]) for x in np.split(at, first[1:])] if len(held) else []
-        index.build()
-        index.vectors = []
-        return index
-
-    index = over(np.arange(len(names)))
-    index.telling = over(telling(number, counts, doc, toxic, len(names)))
-    del held_terms, held_ids, counts, number, doc, order
+    spread = docs.select(text_of().alias("text")).mapInArrow(_spread(names), "at long, df long").groupBy("at").agg(F.sum("df").alias("df"))
+    spread = scratch.save(spread, "spread")
+    del names
+    rows = _rows(tf, COUNTS, "doc_id", "term", "tf").unionByName(_rows(spread, SPREAD, "at", "df")).unionByName(_rows(chosen, LABELS, "doc_id", "y"))
+    made = scratch.save(rows.coalesce(1).mapInArrow(_index(total), "n long, part binary"), "index")
+    parts = made.toArrow().sort_by("n").column("part")
+    blob = docs.sparkSession.sparkContext.broadcast(b"".join(memoryview(x.as_buffer()) for x in parts))
+    del parts
+    pa.default_memory_pool().release_unused()
     # leave-one-out votes of 2 * examples rows
-    made = source.mapInArrow(_votes(index), "doc_id long, near double, telling double").groupBy("doc_id").agg(F.avg("near").alias("near"), F.avg("telling").alias("telling")).toArrow()
-    at = np.searchsorted(ids, made["doc_id"].to_numpy())
-    known = np.flatnonzero((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == made["doc_id"].to_numpy()))
-    votes = np.stack([made[c].to_numpy()[known] for c in ("near", "telling")], axis=1)
-    index.slopes, index.shift = calibrate(votes, toxic[at[known]], weight[at[known]])
-    scratch.drop("marked", "tf")
-    return index
+    votes = source.mapInArrow(_votes(Fitted(blob)), "doc_id long, near double, telling double").groupBy("doc_id").agg(F.avg("near").alias("near"), F.avg("telling").alias("telling"))
+    voted = votes.join(F.broadcast(chosen), "doc_id").toArrow()
+    toxic = voted["y"].to_numpy().astype(np.float64)
+    slopes, shift = calibrate(np.stack([voted[c].to_numpy() for c in ("near", "telling")], axis=1), toxic, weights(toxic, total))
+    scratch.drop("marked", "tf", "spread", "index")
+    return Fitted(blob, slopes, shift)
 
 
 def _judged(index: Index, data: np.ndarray, offsets: np.ndarray, without: list | None = None) -> Iterator[tuple]:
@@ -377,11 +439,13 @@ def _judged(index: Index, data: np.ndarray, offsets: np.ndarray, without: list |
             yield from index.judge(texts[k : k + BATCH], without and without[i + k : i + k + BATCH])
 
 
-def _votes(index: Index) -> Callable:
-    """doc_id and the votes on each example without itself."""
+def _votes(fitted: Fitted) -> Callable:
+    """doc_id and the votes on each example without itself; documents without a term are no examples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = fitted.load()
         for batch in batches:
+            batch = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), index.ids)))
             votes = [v for v, *_ in _judged(index, *K.flat(batch.column(1)), batch.column(0).to_pylist())]
             if votes:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in zip(*votes, strict=True))], names=["doc_id", "near", "telling"])
@@ -389,8 +453,9 @@ def _votes(index: Index) -> Callable:
     return run
 
 
-def _scores(index: Index) -> Callable:
+def _scores(fitted: Fitted) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = fitted.load()
         for batch in batches:
             data, offsets = K.flat(batch.column(1))
             score = np.full(batch.num_rows, index.none)
@@ -421,22 +486,20 @@ def scored(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None)
     examples. Repeated rows are scored each, a null doc_id stays null and is
     not held out. Without labels every score is 0; an empty table gives no rows.
     """
-    index = fit(source or docs, learnable(labels))
-    if index is None:
-        index = Index(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [], 0.0)
+    fitted = fit(source or docs, learnable(labels)) or Fitted()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    made = rows.mapInArrow(_scores(index), "doc_id long, score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
+    made = rows.mapInArrow(_scores(fitted), "doc_id long, score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return made.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are not predicted to be toxic, with all their columns; every row is judged by its own text."""
-    index = fit(docs, learnable(labels))
-    if index is None:
+    fitted = fit(docs, learnable(labels))
+    if fitted is None:
         return docs
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(row, text_of().alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    made = rows.mapInArrow(_scores(index), f"row {kind}, score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
+    made = rows.mapInArrow(_scores(fitted), f"row {kind}, score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
     return made.where("score < 0.5").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
