@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import duckdb
 import pytest
 
@@ -40,3 +42,22 @@ def test_filetimes_beyond_a_long(spark, tmp_path, name):
     got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).select("event_id", "sec", "nano").collect())
     c.execute(f"CREATE VIEW events AS SELECT CAST(event_id AS HUGEINT) AS event_id FROM read_parquet('{tmp_path}/events.parquet')")
     assert got == sorted(c.execute(f"SELECT event_id, sec, nano FROM ({catalog.ORACLE_SQL[name]})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["scan_folder", "scan_mtime_fallback"])
+def test_scans_hold_a_slice_of_the_files(spark, duck, monkeypatch, name):
+    """However many events there are, a bounded number of them has files on disk."""
+    monkeypatch.setattr(catalog, "WAVE", 300)
+    held, stored, store = [], [], catalog.store
+
+    def counted(made, root):
+        store(made, root)
+        stored.append(root)
+        held.append(sum(len(names) for r in stored for _, _, names in os.walk(r)))
+
+    monkeypatch.setattr(catalog, "store", counted)
+    df = catalog.QUERIES[name](spark, SF)
+    got = sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect())
+    want = duck.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert got == sorted(tuple(map(str, r)) for r in want)
+    assert len(stored) == 4 and max(held) < 1000 and not any(os.path.exists(r) for r in stored)
