@@ -579,6 +579,48 @@ def test_nearest_is_exact(monkeypatch, common, seeds):
         assert len(found) == min(toxicity.NEIGHBOURS, (all_ > 0).sum()) and np.allclose(cosines, all_[want][: len(cosines)]) and set(found) <= set(np.flatnonzero(all_ >= all_[want[-1]] - 1e-9))
 
 
+class Counted(np.ndarray):
+    """Counts the products of matrix multiplications."""
+
+    products = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
+        inputs = [np.asarray(x) for x in inputs]
+        if ufunc is np.matmul:
+            Counted.products += inputs[0].shape[0] * inputs[1].size
+        return getattr(ufunc, method)(*inputs, **kwargs)
+
+
+def test_nearest_multiplies_only_terms_of_the_texts(monkeypatch):
+    """Texts of one vocabulary of four are not multiplied with the common terms of the others."""
+    monkeypatch.setattr(toxicity, "COMMON", 20)
+    monkeypatch.setattr(Counted, "products", 0)
+    rng = np.random.default_rng(5)
+    index = toxicity.Index(np.arange(240), np.ones(240), np.arange(1200), rng.integers(0, 2, 1200).astype(float), np.ones(1200), [], 0.1)
+    index.vectors = [index.vector(np.sort(rng.choice(60, 12, replace=False)) + 60 * (k % 4), rng.integers(1, 4, 12)) for k in range(1200)]
+    index.build()
+    assert (index.common >= 0).all()
+    index.made = tuple(x.view(Counted) if x.dtype == np.float32 else x for x in index.forward())
+    dense = np.zeros((1200, 240))
+    for k, (t, w) in enumerate(index.vectors):
+        dense[k, t] = w
+    texts = [index.vector(np.sort(rng.choice(60, 12, replace=False)) + 60, rng.integers(1, 4, 12)) for _ in range(40)]
+    for (t, w), (found, cosines) in zip(texts, index.nearest(texts, [-1] * 40), strict=True):
+        want = np.sort(np.round(dense[:, t] @ w, 12))[::-1][: toxicity.NEIGHBOURS]
+        assert (found % 4 == 1).all() and np.allclose(cosines, want)
+    assert 0 < Counted.products <= 40 * len(index.most) * toxicity.BLOCK * 60
+
+
+def test_terms_are_counted_by_text():
+    texts = ["a b a", "", "B, c!", "  ", "c c c a", prose(random.Random(2), 300)]
+    column = pa.array(texts)
+    doc, number, tf, names = toxicity._terms(*kernel.flat(column))
+    one = {w: int(toxicity._terms(*kernel.flat(pa.array([w])))[3][0]) for t in texts for w in re.findall("[a-z0-9]+", t.lower())}
+    want = {(k, one[w]): n for k, t in enumerate(texts) for w, n in Counter(re.findall("[a-z0-9]+", t.lower())).items()}
+    assert dict(zip(zip(doc.tolist(), names[number].tolist(), strict=True), tf.tolist(), strict=True)) == want and len(doc) == len(want)
+    assert (np.diff(doc) >= 0).all() and all(len(x) == 0 for x in toxicity._terms(*kernel.flat(pa.array(["", None]))))
+
+
 # 7
 
 

@@ -37,23 +37,23 @@ LIFT = 3.0
 NEIGHBOURS, SURE = 16, 1.0
 #: Examples of a block (NEIGHBOURS at least); blocks scored first; examples that make a term common; groups of common terms.
 BLOCK, SEEDS, COMMON, GROUPS = 64, 8, 192, 8
+#: Blocks multiplied at once, by the common terms that they and the texts hold.
+SPAN = 4
 #: Texts scored together.
 BATCH = 256
 #: Added to a distance before it is inverted, and the votes of the prior.
 FLOOR, PRIOR_VOTES = 0.05, 0.5
 
 
-def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, tf) of every distinct term of each text, in order."""
+def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, number of the term, tf) of every distinct term of each text, in order; the terms that the numbers stand for, sorted."""
     words = K.Words(data, offsets, K.PUNCTUATION)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(words.first))
-    h = words.hashes.view(np.int64)
-    order = np.lexsort((h, doc))
-    d, h = doc[order], h[order]
-    new = np.ones(len(d), dtype=bool)
-    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-    at = np.flatnonzero(new)
-    return d[at], h[at], np.diff(np.append(at, len(d)))
+    names, number = np.unique(words.hashes.view(np.int64), return_inverse=True)
+    key = np.repeat(np.arange(len(offsets) - 1) * len(names), np.diff(words.first)) + number
+    key.sort()
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    doc, number = np.divmod(key[at], max(len(names), 1))
+    return doc, number, np.diff(at, append=len(key)), names
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,9 +61,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.flat(batch.column(1))
         for i, j in K.blocks(offsets):
-            d, h, tf = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            d, number, tf, names = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             ids = batch.column(0).slice(i, j - i).take(pa.array(d))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(h), pa.array(tf.astype(np.int64))], names=["doc_id", "term", "tf"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names[number]), pa.array(tf.astype(np.int64))], names=["doc_id", "term", "tf"])
 
 
 def _spread(terms: np.ndarray) -> Callable:
@@ -75,9 +75,10 @@ def _spread(terms: np.ndarray) -> Callable:
             data, offsets = K.flat(batch.column(0))
             df[-1] += batch.num_rows
             for i, j in K.blocks(offsets):
-                _, h, _ = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-                df[:-1] += np.bincount(at[terms[at] == h], minlength=len(terms))
+                _, number, _, names = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at = np.minimum(np.searchsorted(terms, names), len(terms) - 1)
+                hit = terms[at] == names
+                df[at[hit]] += np.bincount(number, minlength=len(names))[hit]
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["at", "df"])
 
@@ -85,10 +86,11 @@ def _spread(terms: np.ndarray) -> Callable:
 
 
 def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(members of all ranges start[i]:end[i], i of each)."""
+    """(members of all ranges start[i]:end[i], sizes of the ranges)."""
     size = end - start
-    owner = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(owner)) + np.repeat(start - (np.cumsum(size) - size), size), owner
+    members = np.repeat(start - (np.cumsum(size) - size), size)
+    members += np.arange(len(members))
+    return members, size
 
 
 def grouped(term: np.ndarray, example: np.ndarray, value: np.ndarray, terms: int, examples: int, sample: int = 512) -> np.ndarray:
@@ -160,15 +162,17 @@ class Index:
         return self
 
     def forward(self) -> tuple[np.ndarray, ...]:
-        """(dense weights of common terms in single precision; first, term, value of each position's postings)."""
+        """(`first` and `position` in whole words; weights of common terms by term and position in single precision, whether a run of SPAN blocks holds each; first, number, value of each position's common terms)."""
         if self.made is None:
-            term = np.repeat(np.arange(len(self.terms)), np.diff(self.first))
-            number, width = self.common[term], len(self.most) * BLOCK
-            dense = np.zeros((width, len(self.group)), np.float32)
-            among = number >= 0
-            dense[self.position[among], number[among]] = self.value[among]
-            order = np.argsort(self.position, kind="stable")
-            self.made = (dense.reshape(len(self.most), BLOCK, -1), np.searchsorted(self.position[order], np.arange(width + 1)), term[order], self.value[order])
+            number, width = np.repeat(self.common, np.diff(self.first)), len(self.most) * BLOCK
+            among = np.flatnonzero(number >= 0)
+            number, position, value = number[among].astype(np.int64), self.position[among], self.value[among]
+            dense = np.zeros((len(self.group), width), np.float32)
+            dense[number, position] = value
+            filled = np.zeros((-(-width // (SPAN * BLOCK)), len(self.group)), dtype=bool)
+            filled[position // (SPAN * BLOCK), number] = True
+            order = np.argsort(position, kind="stable")
+            self.made = (self.first.astype(np.int64), self.position.astype(np.int64), dense, filled, np.searchsorted(position[order], np.arange(width + 1)), number[order], value[order])
         return self.made
 
     def vector(self, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,45 +199,46 @@ class Index:
         """Rare terms are added up in full. What the common ones can add in a
         block is bounded by the norms of their groups (Cauchy and Schwarz), at
         the block's largest. The blocks with the highest bounds give the last
-        of the nearest so far; only blocks whose bounds reach it are scored
-        then. Scores of common terms are products in single precision; all
-        examples within their error of the last of the nearest are scored
-        again in double precision.
+        of the nearest so far; only blocks whose bounds reach it, and the rest
+        of their runs of SPAN, are scored then. Scores of common terms are
+        products in single precision, over the terms that both the texts and
+        the run hold; for all examples within their error of the last of the
+        nearest the common terms are added up again in double precision.
         """
-        dense, start, terms, values = self.forward()
-        blocks, terms_common = len(self.most), len(self.group)
-        score = np.zeros((len(texts), blocks, BLOCK))
-        q = np.zeros((len(texts), terms_common), np.float32)
+        first, position, dense, filled, start, numbers, values = self.forward()
+        blocks, width = len(self.most), dense.shape[1]
+        rare, q = np.zeros((len(texts), width)), np.zeros((len(texts), len(self.group)))
         for k, (term, weight) in enumerate(texts):
             number = self.common[term]
-            rare = number < 0
-            post, owner = spread(self.first[term[rare]], self.first[term[rare] + 1])
-            score[k] = np.bincount(self.position[post], self.value[post] * weight[rare][owner], blocks * BLOCK).reshape(blocks, BLOCK)
-            q[k, number[~rare]] = weight[~rare]
-        # of unit vectors, for as many products as a text has common terms; the rest add exact zeros
+            few = number < 0
+            post, size = spread(first[term[few]], first[term[few] + 1])
+            rare[k] = np.bincount(position.take(post), self.value.take(post) * np.repeat(weight[few], size), width)
+            q[k, number[~few]] = weight[~few]
+        used, single = q.any(0), q.astype(np.float32)
+        # of unit vectors, for as many products as a text has common terms and the sum with the rare ones; the rest add exact zeros
         error = 2 * (int((q > 0).sum(1).max()) + 8) * 2.0**-24
-        bound = score.max(2) + norms @ self.most.T + error
+        bound = rare.reshape(len(texts), blocks, BLOCK).max(2) + norms @ self.most.T + error
+        score = np.zeros((len(texts), width), np.float32)
         scored, least = np.zeros(blocks, dtype=bool), np.zeros(len(texts))
         now = np.zeros(blocks, dtype=bool)
         now[np.argsort(-bound, axis=1, kind="stable")[:, :SEEDS]] = True
         while now.any():
-            for a, b in np.flatnonzero(np.diff(now.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist():  # runs of blocks
-                score[:, a:b] += (q @ dense[a:b].reshape((b - a) * BLOCK, terms_common).T).reshape(len(texts), b - a, BLOCK)
-            scored |= now
-            held = score[:, scored].reshape(len(texts), -1)
+            due = np.logical_or.reduceat(now, np.arange(0, blocks, SPAN))
+            for r in np.flatnonzero(due).tolist():
+                part, some = slice(r * SPAN * BLOCK, (r + 1) * SPAN * BLOCK), np.flatnonzero(filled[r] & used)
+                score[:, part] = single[:, some] @ dense[some, part] + rare[:, part]
+            scored |= np.repeat(due, SPAN)[:blocks]
+            held = score if scored.all() else score.reshape(len(texts), blocks, BLOCK)[:, scored].reshape(len(texts), -1)
             for k, x in enumerate(without):
                 if x >= 0:
                     held[k, held_place(self.place[x], scored)] = 0
-            least = np.partition(held, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS] if held.shape[1] >= NEIGHBOURS else least
+            least = np.partition(held, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS].astype(np.float64) if held.shape[1] >= NEIGHBOURS else least
             now = (bound > np.maximum(least - error, 0)[:, None]).any(0) & ~scored
         names = (np.flatnonzero(scored)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        query = np.zeros(len(self.terms))
-        for k, (term, weight) in enumerate(texts):
+        for k in range(len(texts)):
             place = names[np.flatnonzero(held[k] > max(least[k] - error, 0))]
-            post, owner = spread(start[place], start[place + 1])
-            query[term] = weight
-            near = np.round(np.bincount(owner, values[post] * query[terms[post]], len(place)), 12)
-            query[term] = 0
+            post, size = spread(start[place], start[place + 1])
+            near = np.round(rare[k, place] + np.bincount(np.repeat(np.arange(len(place)), size), values.take(post) * q[k].take(numbers.take(post)), len(place)), 12)
             found = self.at[place]
             best = np.lexsort((found, -near))[:NEIGHBOURS]
             yield found[best], near[best]
@@ -250,23 +255,27 @@ class Index:
         total = sum(a * x for a, x in zip(self.slopes, votes, strict=True)) + self.shift
         return 1 / (1 + math.exp(-max(min(total, 30), -30)))
 
-    def known(self, h: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The unit vector of a text of terms h; empty without a term of the index."""
+    def known(self, doc: np.ndarray, number: np.ndarray, tf: np.ndarray, names: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The unit vectors of texts 0 to n - 1 of terms names[number]; empty without a term of the index."""
         if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        hit = self.terms[at] == h
-        return self.vector(at[hit], tf[hit]) if hit.any() else (at[hit], np.zeros(0))
-
-    def judge(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int | None] | None = None) -> Iterator[tuple[tuple[float, float], np.ndarray, np.ndarray]]:
-        """For each text (terms, counts): (votes by all and by telling terms, nearest examples by all terms, cosines); `without` the example of that doc_id."""
-        without = without or [None] * len(texts)
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        at = np.minimum(np.searchsorted(self.terms, names), len(self.terms) - 1)
+        hit = np.flatnonzero((self.terms[at] == names)[number])
+        at, doc = at[number[hit]], doc[hit]
+        w = (1 + np.log(tf[hit])) * self.idf[at]
+        w /= np.sqrt(np.bincount(doc, w * w, n))[doc]
+        edge = np.searchsorted(doc, np.arange(n + 1)).tolist()
+        return [(at[i:j], w[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+
+    def judge(self, doc: np.ndarray, number: np.ndarray, tf: np.ndarray, names: np.ndarray, n: int, without: list[int | None] | None = None) -> Iterator[tuple[tuple[float, float], np.ndarray, np.ndarray]]:
+        """For each of n texts, as `known` takes them: (votes by all and by telling terms, nearest examples by all terms, cosines); `without` the example of that doc_id."""
+        without = without or [None] * n
         near = []
         for index in (self, self.telling):
             at = [-1 if x is None else int(np.searchsorted(index.ids, x)) for x in without]
             at = [a if 0 <= a < len(index.ids) and index.ids[a] == x else -1 for a, x in zip(at, without, strict=True)]
-            near.append((index, index.nearest([index.known(*x) for x in texts], at)))
-        for k in range(len(texts)):
+            near.append((index, index.nearest(index.known(doc, number, tf, names, n), at)))
+        for k in range(n):
             votes = tuple(index.vote(*n[k]) if len(n[k][0]) else math.log(index.none / (1 - index.none)) for index, n in near)
             yield votes, *near[0][1][k]
 
@@ -432,11 +441,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted
 def _judged(index: Index, data: np.ndarray, offsets: np.ndarray, without: list | None = None) -> Iterator[tuple]:
     """`Index.judge` of every text of a batch, in order."""
     for i, j in K.blocks(offsets):
-        doc, h, tf = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        edge = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
-        texts = [(h[a:b], tf[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        for k in range(0, len(texts), BATCH):
-            yield from index.judge(texts[k : k + BATCH], without and without[i + k : i + k + BATCH])
+        doc, number, tf, names = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        for k in range(i, j, BATCH):
+            end = min(k + BATCH, j)
+            a, b = np.searchsorted(doc, (k - i, end - i)).tolist()
+            yield from index.judge(doc[a:b] - (k - i), number[a:b], tf[a:b], names, end - k, without and without[k:end])
 
 
 def _votes(fitted: Fitted) -> Callable:
