@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 
 from tidewrack import encoders as E
 from tidewrack.functions import times
 from tidewrack.functions.binary import Stream, c_string, number, piece, wide
-from tidewrack.operators import evtx, lnk, mft
+from tidewrack.operators import base, evtx, lnk, mft
 
 T = E.ticks(1_700_000_000_000_000)
 
@@ -174,3 +175,20 @@ def test_unsigned_or_zero(spark):
 
     rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", evtx.unsigned_or_zero(F.col("text")).alias("n")).collect()
     assert {r["text"]: r["n"] for r in rows} == texts
+
+
+def test_small_units_share_a_batch():
+    """A batch of Arrow costs far more than a row, and each shortcut gives one row only."""
+    units = pa.RecordBatch.from_pylist([{"content": bytes([k % 3])} for k in range(5000)])
+    schema = pa.schema([("n", pa.int64())])
+
+    def decode(unit):
+        yield {"n": unit["content"][0]}
+        if unit["content"][0] == 1:
+            raise ValueError
+
+    got = list(base.batched(iter([units, units]), decode, schema))
+    assert [b.num_rows for b in got] == [4096, 4096, 1808]
+    assert [n for b in got for n in b.column(0).to_pylist()] == [k % 3 for k in range(5000)] * 2
+    large = pa.RecordBatch.from_pylist([{"content": bytes(base.BYTES)}] * 3)
+    assert [b.num_rows for b in base.batched(iter([large]), decode, schema)] == [1, 1, 1]

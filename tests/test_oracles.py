@@ -61,3 +61,21 @@ def test_scans_hold_a_slice_of_the_files(spark, duck, monkeypatch, name):
     want = duck.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
     assert got == sorted(tuple(map(str, r)) for r in want)
     assert len(stored) == 4 and max(held) < 1000 and not any(os.path.exists(r) for r in stored)
+
+
+@pytest.mark.parametrize("name", ["scan_folder", "scan_mtime_fallback"])
+def test_scans_write_over_the_files_of_slices_before(spark, duck, monkeypatch, name):
+    """Most files of a slice are those of the slice before the last one, so few are made and deleted."""
+    monkeypatch.setattr(catalog, "WAVE", 300)
+    stored, store = [], catalog.store
+
+    def noted(made, root):
+        store(made, root)
+        stored.append({os.stat(os.path.join(r, n)).st_ino for r, _, names in os.walk(root) for n in names})
+
+    monkeypatch.setattr(catalog, "store", noted)
+    df = catalog.QUERIES[name](spark, SF)
+    got = sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect())
+    want = duck.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert got == sorted(tuple(map(str, r)) for r in want)
+    assert all(2 * len(new & old) > len(new) for old, new in zip(stored, stored[2:]))
